@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, quality, toxicity
+from . import decontaminate, minhash, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,5 +27,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_duplicates, op2_quality, op8_toxicity)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_duplicates, op2_quality, op8_toxicity, op9_decontamination)}
 ORACLES: dict[str, str] = {}
