@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, packing, quality, toxicity
+from . import decontaminate, fingerprints, html_extract, licenses, minhash, packing, quality, suffix_tree, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,22 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(_table(spark, sf_dir, "pages"))
+
+
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scored(_table(spark, sf_dir, "documents"))
+
+
+def op6_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captured(_table(spark, sf_dir, "pages"))
+
+
+def op7_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.exact_groups(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -35,5 +51,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_duplicates, op2_quality, op3_packing, op8_toxicity, op9_decontamination)}
-ORACLES: dict[str, str] = {}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_near_duplicates, op2_quality, op3_packing, op4_html_extraction, op5_suffix_tree,
+        op6_capture_index, op7_exact_digest, op8_toxicity, op9_decontamination, op10_licenses,
+    )
+}
+#: SQL can express these two; the others are tested against brute force, exact round trips or held-out accuracy.
+ORACLES: dict[str, str] = {"op6_capture_index": warc.ORACLE, "op7_exact_digest": fingerprints.ORACLE}
