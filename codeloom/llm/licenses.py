@@ -109,6 +109,8 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
 
 
 def _candidates(doc: np.ndarray, template: np.ndarray, diagonal: np.ndarray, band: int) -> Iterator[tuple[int, int, int, int]]:
+    if not len(doc):
+        return
     order = np.lexsort((diagonal, template, doc))
     doc, template, diagonal = doc[order], template[order], diagonal[order]
     new = np.ones(len(doc), bool)
