@@ -4,15 +4,19 @@ The canonical form of a text is NFKC, then case folded, then with runs of white
 space as one space and none at the ends. Its 128-bit xxHash groups documents; that
 shuffle moves 16 bytes a document. Digests that occur once need no more. For the
 others the canonical texts are grouped by digest and text, which compares
-bytes inside equal buckets and combines copies before the shuffle. Only if a digest has two
-different texts are its documents joined back by text.
+bytes inside equal buckets and combines copies before the shuffle. A Bloom filter of the
+repeated digests keeps nearly all other texts out of it. The filter has BITS bits for a
+digest and MOST_BITS at most; beyond that more texts pass it and are found to be
+single, so its size is bounded and the result exact at any scale. Only if a digest has
+two different texts are its documents joined back by text.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -20,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .store import Table
 
-_DIGEST = "doc_id long, digest binary, chars long"
+BITS, MOST_BITS, PROBES = 12, 1 << 27, 4
+_DIGEST = "doc_id long, d1 long, d2 long, chars long"
+_TEXT = "doc_id long, d1 long, d2 long, text string"
 
 
 def canonical(text: str | None) -> str:
@@ -29,51 +35,88 @@ def canonical(text: str | None) -> str:
     return " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold()).split())
 
 
-def _canonical_column():
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([canonical(x) for x in texts.to_pylist()], pa.string())
+def wide(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
 
-    return F.arrow_udf(run, "string")
 
+def _made(batch: pa.RecordBatch, digest: Callable[[str], bytes]) -> tuple[list[str], np.ndarray]:
+    """Canonical texts and their digests, two longs each."""
+    texts = [canonical(x) for x in batch.column("t").to_pylist()]
+    return texts, np.frombuffer(b"".join(map(digest, texts)), np.int64).reshape(-1, 2)
 
-def digests(docs: DataFrame) -> DataFrame:
-    """``(doc_id, digest, chars)`` of every row; chars is the length of the canonical text."""
+
+def digests(docs: DataFrame, digest: Callable[[str], bytes] = wide) -> DataFrame:
+    """``(doc_id, d1, d2, chars)`` of every row; chars is the length of the canonical text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, made = _made(batch, digest)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made[:, 0]), pa.array(made[:, 1]), pa.array([len(x) for x in texts], pa.int64())], [c.split()[0] for c in _DIGEST.split(", ")])
+
+    return _narrow(docs).mapInArrow(run, _DIGEST)
+
+
+def _narrow(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t")).where("id is not null")
+
+
+def bloom(repeated: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
+    """The filter's 64-bit words; their number is a power of two."""
+    n = repeated.count()
+    bits = 64
+    while bits < min(n * BITS, most_bits):
+        bits *= 2
+    place = F.explode(F.array(*[(F.col("d1") + F.col("d2") * k).bitwiseAND(F.lit(bits - 1)) for k in range(PROBES)]))
+    rows = repeated.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("b")).toPandas()
+    words = np.zeros(bits // 64, np.int64)
+    words[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
+    return words
+
+
+def may_hold(words: np.ndarray, made: np.ndarray) -> np.ndarray:
+    ok = np.ones(len(made), bool)
+    for k in range(PROBES):
+        with np.errstate(over="ignore"):
+            p = (made[:, 0] + made[:, 1] * np.int64(k)) & np.int64(len(words) * 64 - 1)
+        ok &= (words[p >> 6] >> (p & 63)) & 1 == 1
+    return ok
+
+
+def _texts(docs: DataFrame, words: np.ndarray, digest: Callable[[str], bytes]) -> DataFrame:
+    """Canonical texts of the rows that pass the filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [canonical(x) for x in batch.column("t").to_pylist()]
-            made = [xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary()), pa.array([len(x) for x in texts], pa.int64())], ["doc_id", "digest", "chars"])
+            texts, made = _made(batch, digest)
+            take = np.flatnonzero(may_hold(shared.value, made))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(take)), pa.array(made[take, 0]), pa.array(made[take, 1]), pa.array([texts[k] for k in take], pa.string())], [c.split()[0] for c in _TEXT.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t")).mapInArrow(run, _DIGEST)
+    return _narrow(docs).mapInArrow(run, _TEXT)
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
+def exact_groups(docs: DataFrame, digest: Callable[[str], bytes] = wide) -> DataFrame:
     """``(doc_id, group_id, group_size, chars)`` for every row that has a doc_id.
 
     group_id is the least doc_id of all rows whose canonical text is the same, byte for byte, and
     group_size the number of these rows. Null, empty and blank texts are one group, the empty text. Rows
     that share a doc_id count each; a null doc_id gives no row. Only doc_id and text are read.
     """
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    made = Table(digests(docs), "digests")
-    several = made.df.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).where("n > 1")
-    # The rows of repeated digests, found by doc_id so that no text is shuffled but theirs.
-    owners = made.df.join(several.select("digest"), "digest", "left_semi").select("doc_id").distinct()
-    copies = docs.join(owners, "doc_id", "left_semi").select("doc_id", _canonical_column()("text").alias("text"))
-    hashed = copies.mapInArrow(_with_digest, "doc_id long, digest binary, text string")
-    classes = Table(hashed.groupBy("digest", "text").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size")), "classes")
-    kinds = classes.df.groupBy("digest").agg(F.count(F.lit(1)).alias("kinds"), F.first("group_id").alias("group_id"), F.first("group_size").alias("group_size"))
-    joined = made.df.join(kinds, "digest", "left")
-    plain = joined.where("kinds is null or kinds = 1").select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "chars")
-    clash = hashed.join(kinds.where("kinds > 1").select("digest"), "digest", "left_semi").join(classes.df, ["digest", "text"])
-    return plain.union(clash.select("doc_id", "group_id", "group_size", F.length("text").cast("long").alias("chars")))
-
-
-def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = [xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(made, pa.binary()), batch.column("text").cast(pa.string())], ["doc_id", "digest", "text"])
+    made = Table(digests(docs, digest), "digests")
+    repeated = Table(made.df.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2"), "repeated")
+    words = bloom(repeated.df)
+    repeated.drop()
+    texts = _texts(docs, words, digest)
+    classes = Table(texts.groupBy("d1", "d2", "text").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size")), "classes")
+    kinds = classes.df.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("kinds"), F.first("group_id").alias("group_id"), F.first("group_size").alias("group_size"))
+    kinds = Table(kinds, "kinds").df
+    joined = made.df.join(kinds, ["d1", "d2"], "left")
+    one = joined.where("kinds is null or kinds = 1")
+    out = one.select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "chars")
+    if kinds.where("kinds > 1").isEmpty():
+        return out
+    clash = texts.join(kinds.where("kinds > 1").select("d1", "d2"), ["d1", "d2"], "left_semi").join(classes.df, ["d1", "d2", "text"])
+    return out.union(clash.select("doc_id", "group_id", "group_size", F.length("text").cast("long").alias("chars")))
 
 
 ORACLE = r"""
