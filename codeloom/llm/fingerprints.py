@@ -66,7 +66,8 @@ def bloom(repeated: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
     bits = 64
     while bits < min(n * BITS, most_bits):
         bits *= 2
-    place = F.explode(F.array(*[(F.col("d1") + F.col("d2") * k).bitwiseAND(F.lit(bits - 1)) for k in range(PROBES)]))
+    low = F.lit(bits - 1)
+    place = F.explode(F.array(*[(F.col("d1").bitwiseAND(low) + F.col("d2").bitwiseAND(low) * k).bitwiseAND(low) for k in range(PROBES)]))
     rows = repeated.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("b")).toPandas()
     words = np.zeros(bits // 64, np.int64)
     words[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
@@ -75,9 +76,9 @@ def bloom(repeated: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
 
 def may_hold(words: np.ndarray, made: np.ndarray) -> np.ndarray:
     ok = np.ones(len(made), bool)
+    low = np.int64(len(words) * 64 - 1)
     for k in range(PROBES):
-        with np.errstate(over="ignore"):
-            p = (made[:, 0] + made[:, 1] * np.int64(k)) & np.int64(len(words) * 64 - 1)
+        p = ((made[:, 0] & low) + (made[:, 1] & low) * k) & low
         ok &= (words[p >> 6] >> (p & 63)) & 1 == 1
     return ok
 
