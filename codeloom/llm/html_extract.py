@@ -143,7 +143,8 @@ def train(pages: DataFrame, limit: int = LABELLED_PAGES, most_bytes: int = LABEL
                 yield pa.RecordBatch.from_arrays([pa.array([t.labelled for t in found], pa.bool_()), lists[0].cast(pa.list_(pa.int32())), lists[1].cast(pa.list_(pa.int32())), lists[2].cast(pa.list_(pa.bool_()))], ["labelled", "tag", "words", "inside"])
 
     marked = pages.select(F.col("page_id").cast("long").alias("id"), F.col("html").alias("h")).where("id is not null and octet_length(h) <= %d and h rlike '(?i)<(article|main)[ >]'" % most_bytes)
-    sample = marked.orderBy(F.xxhash64("id", F.lit(3)), "id", F.xxhash64("h")).limit(limit).select("h")
+    chosen = marked.select("id").orderBy(F.xxhash64("id", F.lit(3)), "id").limit(limit).distinct()
+    sample = marked.join(F.broadcast(chosen), "id").orderBy("id", F.xxhash64("h")).select("h")
     rows = sample.mapInArrow(run, "labelled boolean, tag array<int>, words array<int>, inside array<boolean>").where("labelled").toPandas()
     blank = np.empty(0)
     return fit([Tokens(np.array(r.tag), blank, blank, np.array(r.words), np.array(r.inside, bool), True) for r in rows.itertuples()])
