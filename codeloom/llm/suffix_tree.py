@@ -162,7 +162,7 @@ def train(docs: DataFrame, depth: int = DEPTH, share: float = SHARE, diverges: f
 def walk(raw: np.ndarray, offsets: np.ndarray, tree: Tree) -> np.ndarray:
     """The state of the tree that predicts each byte."""
     n = len(raw)
-    node = np.zeros(n, np.int32)
+    raw, node = raw.astype(np.int16), np.zeros(n, np.int32)
     since = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
     alive = np.arange(n)
     for k in range(1, int(tree.level.max(initial=0)) + 1):
