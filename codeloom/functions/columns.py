@@ -11,9 +11,11 @@ FRAMEWORK_PATH = r"(views|handlers|endpoints|routes|api|urls|function_app)[.]py$
 _SUPPRESS = r"(?i)#\s*(?:noqa|ignore)(?::\s*([A-Za-z0-9_\-]+(?:\s*,\s*[A-Za-z0-9_\-]+)*))?"
 
 
-def lines(files: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, line, text)``: one row a line, numbered from 1. A null text has no lines, an empty one has one."""
-    return files.select(F.col(key), F.posexplode(F.split(F.col(text), "\n", -1)).alias("at", "text")).select(key, (F.col("at") + 1).alias("line"), "text")
+def lines(files: DataFrame, key: str, text: str, test: Column | None = None) -> DataFrame:
+    """``(key, line, text)``: one row a line, numbered from 1. A null text has no lines, an empty one has one. ``test`` is carried as a flag of that name."""
+    flag = [] if test is None else [test.alias("test")]
+    each = files.select(F.col(key), *flag, F.posexplode(F.split(F.col(text), "\n", -1)).alias("at", "text"))
+    return each.select(key, (F.col("at") + 1).alias("line"), "text", *[F.col("test")] * len(flag))
 
 
 def severity_rank(severity: Column) -> Column:
@@ -53,7 +55,7 @@ def redacted(text: Column) -> Column:
 
 def suppressed_codes(text: Column) -> Column:
     """What a line's comment suppresses: null for nothing, an empty array for everything, else upper-case ids."""
-    codes = F.transform(F.split(F.upper(F.regexp_extract(text, _SUPPRESS, 1)), r"\s*,\s*"), F.trim)
+    codes = F.transform(F.split(F.upper(F.regexp_extract(text, _SUPPRESS, 1)), r"\s*,\s*"), lambda x: F.trim(x))
     every = (F.regexp_extract(text, _SUPPRESS, 1) == "") | F.array_contains(codes, "CSP")
     return F.when(text.rlike(r"(?i)#\s*pragma:\s*no\s+(?!cover\b)[a-z]+"), F.array().cast("array<string>")).when(text.rlike(_SUPPRESS), F.when(every, F.array().cast("array<string>")).otherwise(codes))
 

@@ -46,28 +46,30 @@ def pattern_hits(all_lines: DataFrame, key: str) -> DataFrame:
     """``(key, line, text, rule_id, name, severity, base, ord)``: one row for each pattern that a line matches."""
     tests = [F.when(F.col("text").rlike(rx), F.struct(F.lit(i).alias("rule_id"), F.lit(n).alias("name"), F.lit(s).alias("severity"), F.lit(b).alias("base"), F.lit(k).alias("ord"))) for k, (i, n, s, b, rx) in enumerate(PATTERNS)]
     found = F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull()))
-    return all_lines.select(key, "line", "text", found.alias("hit")).select(key, "line", "text", "hit.*")
+    flag = [c for c in all_lines.columns if c == "test"]
+    return all_lines.select(key, "line", "text", *flag, found.alias("hit")).select(key, "line", "text", *flag, "hit.*")
 
 
 def entropy_hits(all_lines: DataFrame, key: str, least: float = ENTROPY, length: int = MIN_LENGTH) -> DataFrame:
     """Quoted literals of high byte entropy (S200) that don't look like prose, paths, hashes or UUIDs."""
+    flag = [c for c in all_lines.columns if c == "test"]
     quoted = F.explode(F.regexp_extract_all("text", F.lit(r"""["']([^"']{%d,})["']""" % length), F.lit(1)))
-    each = all_lines.where(F.col("text").rlike(r"""["'][^"']{%d,}["']""" % length)).select(key, "line", "text", quoted.alias("value"))
+    each = all_lines.where(F.col("text").rlike(r"""["'][^"']{%d,}["']""" % length)).select(key, "line", "text", *flag, quoted.alias("value"))
     plain = (
         (F.length(F.regexp_replace("value", "[^ ]", "")) < 3)
         & ~F.col("value").rlike(r"^[A-Za-z0-9+/=]{65,}$|^[0-9a-fA-F]{129,}$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^(/|[.]{1,2}/|https?://)|[.].*[.]")
     )
     scored = each.where(plain).withColumn("entropy", byte_entropy(F.col("value"))).where(F.col("entropy") >= least)
-    return scored.select(key, "line", "text", F.lit("S200").alias("rule_id"), F.lit("High entropy string").alias("name"), F.lit("MEDIUM").alias("severity"), F.lit(60).alias("base"), F.lit(len(PATTERNS)).alias("ord"), redacted(F.col("value")).alias("matched_value"), "entropy")
+    return scored.select(key, "line", "text", *flag, F.lit("S200").alias("rule_id"), F.lit("High entropy string").alias("name"), F.lit("MEDIUM").alias("severity"), F.lit(60).alias("base"), F.lit(len(PATTERNS)).alias("ord"), redacted(F.col("value")).alias("matched_value"), "entropy")
 
 
-def context_score(base: Column, text: Column, path: Column | None = None) -> Column:
+def context_score(base: Column, text: Column, test: Column | None = None) -> Column:
     """Base less 50 in tests, 10 in comments, 30 for placeholders, 100 for suppression, environment access, paths or URLs; 0 to 100."""
     score = base - F.when(text.rlike(r"^\s*#"), 10).otherwise(0) - F.when(text.rlike(PLACEHOLDER), 30).otherwise(0)
     for bad in (suppressed_codes(text).isNotNull(), text.rlike(ENV_ACCESS), text.rlike(PATH_OR_URL)):
         score = score - F.when(bad, 100).otherwise(0)
-    if path is not None:
-        score = score - F.when(is_test_path(path), 50).otherwise(0)
+    if test is not None:
+        score = score - F.when(test, 50).otherwise(0)
     return F.least(F.lit(100), F.greatest(F.lit(0), score))
 
 
@@ -76,11 +78,11 @@ def secret_findings(files: DataFrame, key: str, text: str, path: str | None = No
 
     Of equal scores the earlier recognizer wins. Null texts have no findings.
     """
-    each = lines(files.where(F.col(key).isNotNull()), key, text)
+    each = lines(files.where(F.col(key).isNotNull()), key, text, is_test_path(F.col(path)) if path else None)
     hits = pattern_hits(each, key).withColumns({"matched_value": F.lit(None).cast("string"), "entropy": F.lit(None).cast("double")})
     if entropy:
         hits = hits.unionByName(entropy_hits(each, key))
-    confidence = context_score(F.col("base"), F.col("text"), F.col(path) if path else None)
+    confidence = context_score(F.col("base"), F.col("text"), F.col("test") if path else None)
     best = Window.partitionBy(key, "line").orderBy(F.desc("confidence"), "ord", "matched_value")
     kept = hits.withColumn("confidence", confidence).where(F.col("confidence") >= least).withColumn("nth", F.row_number().over(best)).where("nth = 1")
     return kept.select(key, "line", "rule_id", "severity", F.concat(F.lit("Possible secret: "), F.col("name")).alias("message"), "matched_value", "entropy", "confidence")
