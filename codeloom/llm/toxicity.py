@@ -5,7 +5,7 @@ forms share evidence. Seeds come from labelled documents: stems that stand out
 by the number of toxic documents, against clean ones, that use them in a
 context (neighbours) of their own, and frequent stems that lean to clean
 documents. Copies of a document bring no context, so they don't count. Edges join
-every seed with the stems that occur within WINDOW words of it anywhere in the
+all stems that occur within WINDOW words of each other anywhere in the
 corpus, weighted by shifted positive pointwise mutual information. Random
 walks with restart from the toxic and from the clean seeds give two visiting
 probabilities a stem, p and q (Hamilton et al., "Inducing Domain-Specific
@@ -34,6 +34,8 @@ from .text import chunks, mix64, plain
 STEM, SEEDS, WINDOW, STEPS, RESTART = 5, 200, 5, 6, 0.2
 #: A stem is a vertex if it makes up this share of all words, so there are at most 1 / SHARE vertices.
 SHARE, LEAST_COUNT, LEAST_TOGETHER, SHIFT = 1e-6, 3, 4, 5.0
+#: Pieces in which a task sends its pairs.
+BUCKETS = 1024
 #: Likelihood ratio of a toxic seed (about one chance in 16,000); polarity from which a stem is in the lexicon; weight of chance in it.
 STANDS_OUT, POLAR, LIFT = 16.0, 0.5, 10.0
 _ALNUM = np.array([chr(c).isalnum() for c in range(65536)])
@@ -90,8 +92,11 @@ class _Counter:
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.keys:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        keys, where = np.unique(np.concatenate(self.keys), return_inverse=True)
-        return keys, np.bincount(where, np.concatenate(self.counts), len(keys)).astype(np.int64)
+        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[new], np.add.reduceat(counts, new)
 
 
 def _counts(texts: DataFrame) -> DataFrame:
@@ -106,38 +111,239 @@ def _counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "stem long, n long").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
-def _contexts(sample: DataFrame) -> DataFrame:
+def _packed(*columns: np.ndarray) -> bytes:
+    """Integer columns, the first one sorted and kept as runs, in byte planes that compress well."""
+    a = columns[0]
+    new = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    kept = (a[new], np.diff(np.append(new, len(a))), *columns[1:])
+    planes = b"".join(np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes() for x in kept)
+    return np.array([len(new), len(a), len(columns) - 1], np.int64).tobytes() + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
+    runs, size, more = map(int, np.frombuffer(blob[:24], np.int64))
+    raw = np.frombuffer(pa.decompress(blob[24:], 8 * (2 * runs + more * size), codec="zstd", asbytes=True), np.uint8)
+    columns, at = [], 0
+    for k in (runs, runs, *[size] * more):
+        columns.append(np.ascontiguousarray(raw[at : at + 8 * k].reshape(8, -1).T).view(np.int64).ravel())
+        at += 8 * k
+    return np.repeat(columns[0], columns[1]), *columns[2:]
+
+
+def _pieces(columns: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """``(bucket, rows)``: the rows of the columns in compressed pieces, one for each bucket of the first column's hash."""
+    bucket = (mix64(columns[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((*columns[::-1], bucket))
+    columns, bucket = [x[order] for x in columns], bucket[order]
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
+    blobs = [_packed(*(x[i:j] for x in columns)) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "rows"])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    for batch in batches:
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("rows"), strict=True):
+            yield bucket, _unpacked(blob.as_py())
+
+
+def _contexts(sample: DataFrame, waiting: int = 1 << 20) -> DataFrame:
     """``(stem, toxic, clean)``: documents of either class that bring a context (left and right neighbour) of the stem which no document before them has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
             for part in chunks(batch, "t"):
                 stem, bounds = stems(part.column("t"))
                 own = np.diff(bounds)
-                y = np.repeat(part.column("y").to_numpy(zero_copy_only=False), own)
-                ids = np.repeat(part.column("id").to_numpy(zero_copy_only=False), own)
+                y = np.repeat(part.column("y").to_numpy(zero_copy_only=False), own).astype(np.int64)
+                ids = np.repeat(part.column("id").to_numpy(zero_copy_only=False), own).astype(np.int64)
                 left, right = np.zeros_like(stem), np.zeros_like(stem)
                 left[1:], right[:-1] = stem[:-1], stem[1:]
                 left[bounds[:-1][own > 0]] = 0
                 right[bounds[1:][own > 0] - 1] = 0
-                context = (mix64(left.view(np.uint64)) + np.uint64(3) * mix64(right.view(np.uint64) + np.uint64(1))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (stem, context, ids, y.astype(np.int32))], ["stem", "c", "id", "y"])
+                parts.append((stem, left, right, y, ids))
+                held += len(stem)
+                if held > waiting:
+                    yield _pieces([np.concatenate(x) for x in zip(*parts, strict=True)], BUCKETS // 4)
+                    parts, held = [], 0
+        if parts:
+            yield _pieces([np.concatenate(x) for x in zip(*parts, strict=True)], BUCKETS // 4)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            stem, left, right, y, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((ids, y, right, left, stem))
+            stem, left, right, y, ids = (x[order] for x in (stem, left, right, y, ids))
+            new = np.ones(len(stem), bool)
+            new[1:] = np.any([x[1:] != x[:-1] for x in (stem, left, right, y)], axis=0)
+            stem, y, ids = stem[new], y[new], ids[new]
+            order = np.lexsort((ids, y, stem))
+            stem, y, ids = stem[order], y[order], ids[order]
+            new = np.ones(len(stem), bool)
+            new[1:] = np.any([x[1:] != x[:-1] for x in (stem, y, ids)], axis=0)
+            own, where = np.unique(stem[new], return_inverse=True)
+            counts = [np.bincount(where, y[new] == k, len(own)).astype(np.int64) for k in (1, 0)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (own, *counts)], ["stem", "toxic", "clean"])
+
+        now, parts = None, []
+        for bucket, part in _by_bucket(batches):
+            if bucket != now and parts:
+                yield rows(parts)
+                parts = []
+            now = bucket
+            parts.append(part)
+        if parts:
+            yield rows(parts)
+
+    sent = sample.mapInArrow(run, "bucket int, rows binary").repartition("bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(total, "stem long, toxic long, clean long")
+
+
+def _together(texts: DataFrame, toxic: np.ndarray) -> DataFrame:
+    """``(seed, stem, n)``: how often each stem stands within WINDOW words of each toxic seed.
+
+    Occurrences with the same two neighbours count once, so copies of a document add nothing.
+    """
+    seeds = np.sort(toxic)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "t"):
+                stem, bounds = stems(part.column("t"))
+                if not len(stem):
+                    continue
+                which = np.minimum(np.searchsorted(seeds, stem), len(seeds) - 1)
+                hit = np.flatnonzero(seeds[which] == stem)
+                doc = np.searchsorted(bounds, hit, side="right")
+                low, high = bounds[doc - 1], bounds[doc]
+                left = np.where(hit > low, stem[np.maximum(hit - 1, 0)], 0).view(np.uint64)
+                right = np.where(hit + 1 < high, stem[np.minimum(hit + 1, len(stem) - 1)], 0).view(np.uint64)
+                context = (mix64(left) + np.uint64(3) * mix64(right + np.uint64(1))).view(np.int64)
+                seed, other, where = [], [], []
+                for step in (*range(-WINDOW, 0), *range(1, WINDOW + 1)):
+                    to = hit + step
+                    ok = np.flatnonzero((to >= low) & (to < high))
+                    seed.append(stem[hit[ok]])
+                    other.append(stem[to[ok]])
+                    where.append(context[ok])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (seed, other, where)], ["seed", "stem", "c"])
+
+    return texts.mapInArrow(run, "seed long, stem long, c long").distinct().groupBy("seed", "stem").agg(F.count(F.lit(1)).alias("n"))
+
+
+class _Vocabulary:
+    """Numbers of stems in the order in which a task meets them."""
+
+    def __init__(self) -> None:
+        self.stems, self.numbers = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def of(self, stem: np.ndarray) -> np.ndarray:
+        own, where = np.unique(stem, return_inverse=True)
+        new = np.setdiff1d(own, self.stems, assume_unique=True)
+        if len(new):
+            numbers = np.concatenate([self.numbers, len(self.stems) + np.arange(len(new))])
+            known = np.concatenate([self.stems, new])
+            order = np.argsort(known)
+            self.stems, self.numbers = known[order], numbers[order]
+        return self.numbers[np.searchsorted(self.stems, own)][where]
+
 
-    rows = sample.mapInArrow(run, "stem long, c long, id long, y int").groupBy("stem", "c", "y").agg(F.min("id").alias("id"))
-    once = rows.groupBy("stem", "y").agg(F.count_distinct("id").alias("n"))
-    return once.groupBy("stem").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"))
+def _packed(*columns: np.ndarray) -> bytes:
+    """Integer columns, the first one sorted and kept as runs, in byte planes that compress well."""
+    a = columns[0]
+    new = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    kept = (a[new], np.diff(np.append(new, len(a))), *columns[1:])
+    planes = b"".join(np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes() for x in kept)
+    return np.array([len(new), len(a), len(columns) - 1], np.int64).tobytes() + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _together(texts: DataFrame, toxic: np.ndarray, calm: np.ndarray, vertices: np.ndarray) -> DataFrame:
-    """``(seed, stem, n)``: how often each vertex stands within WINDOW words of each seed.
+def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
+    runs, size, more = map(int, np.frombuffer(blob[:24], np.int64))
+    raw = np.frombuffer(pa.decompress(blob[24:], 8 * (2 * runs + more * size), codec="zstd", asbytes=True), np.uint8)
+    columns, at = [], 0
+    for k in (runs, runs, *[size] * more):
+        columns.append(np.ascontiguousarray(raw[at : at + 8 * k].reshape(8, -1).T).view(np.int64).ravel())
+        at += 8 * k
+    return np.repeat(columns[0], columns[1]), *columns[2:]
 
-    For toxic seeds, occurrences with the same two neighbours count once, so copies of a document add nothing.
+
+def _pieces(columns: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """``(bucket, rows)``: the rows of the columns in compressed pieces, one for each bucket of the first column's hash."""
+    bucket = (mix64(columns[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((*columns[::-1], bucket))
+    columns, bucket = [x[order] for x in columns], bucket[order]
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
+    blobs = [_packed(*(x[i:j] for x in columns)) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "rows"])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    for batch in batches:
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("rows"), strict=True):
+            yield bucket, _unpacked(blob.as_py())
+
+
+def _contexts(sample: DataFrame, waiting: int = 1 << 20) -> DataFrame:
+    """``(stem, toxic, clean)``: documents of either class that bring a context (left and right neighbour) of the stem which no document before them has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            for part in chunks(batch, "t"):
+                stem, bounds = stems(part.column("t"))
+                own = np.diff(bounds)
+                y = np.repeat(part.column("y").to_numpy(zero_copy_only=False), own).astype(np.int64)
+                ids = np.repeat(part.column("id").to_numpy(zero_copy_only=False), own).astype(np.int64)
+                left, right = np.zeros_like(stem), np.zeros_like(stem)
+                left[1:], right[:-1] = stem[:-1], stem[1:]
+                left[bounds[:-1][own > 0]] = 0
+                right[bounds[1:][own > 0] - 1] = 0
+                parts.append((stem, left, right, y, ids))
+                held += len(stem)
+                if held > waiting:
+                    yield _pieces([np.concatenate(x) for x in zip(*parts, strict=True)], BUCKETS // 4)
+                    parts, held = [], 0
+        if parts:
+            yield _pieces([np.concatenate(x) for x in zip(*parts, strict=True)], BUCKETS // 4)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            stem, left, right, y, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((ids, y, right, left, stem))
+            stem, left, right, y, ids = (x[order] for x in (stem, left, right, y, ids))
+            new = np.ones(len(stem), bool)
+            new[1:] = np.any([x[1:] != x[:-1] for x in (stem, left, right, y)], axis=0)
+            stem, y, ids = stem[new], y[new], ids[new]
+            order = np.lexsort((ids, y, stem))
+            stem, y, ids = stem[order], y[order], ids[order]
+            new = np.ones(len(stem), bool)
+            new[1:] = np.any([x[1:] != x[:-1] for x in (stem, y, ids)], axis=0)
+            own, where = np.unique(stem[new], return_inverse=True)
+            counts = [np.bincount(where, y[new] == k, len(own)).astype(np.int64) for k in (1, 0)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (own, *counts)], ["stem", "toxic", "clean"])
+
+        now, parts = None, []
+        for bucket, part in _by_bucket(batches):
+            if bucket != now and parts:
+                yield rows(parts)
+                parts = []
+            now = bucket
+            parts.append(part)
+        if parts:
+            yield rows(parts)
+
+    sent = sample.mapInArrow(run, "bucket int, rows binary").repartition("bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(total, "stem long, toxic long, clean long")
+
+
+def _together(texts: DataFrame, toxic: np.ndarray) -> DataFrame:
+    """``(seed, stem, n)``: how often each stem stands within WINDOW words of each toxic seed.
+
+    Occurrences with the same two neighbours count once, so copies of a document add nothing.
     """
-    seeds, vertices = np.sort(np.concatenate([toxic, calm])), np.sort(vertices)
-    counted_once = np.isin(seeds, toxic)
+    seeds = np.sort(toxic)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, size = _Counter(), np.int64(len(vertices))
         for batch in batches:
             for part in chunks(batch, "t"):
                 stem, bounds = stems(part.column("t"))
@@ -150,29 +356,118 @@ def _together(texts: DataFrame, toxic: np.ndarray, calm: np.ndarray, vertices: n
                 left = np.where(hit > low, stem[np.maximum(hit - 1, 0)], 0).view(np.uint64)
                 right = np.where(hit + 1 < high, stem[np.minimum(hit + 1, len(stem) - 1)], 0).view(np.uint64)
                 context = (mix64(left) + np.uint64(3) * mix64(right + np.uint64(1))).view(np.int64)
-                once, pairs, single, contexts = counted_once[which[hit]], [], [], []
+                seed, other, where = [], [], []
                 for step in (*range(-WINDOW, 0), *range(1, WINDOW + 1)):
                     to = hit + step
                     ok = np.flatnonzero((to >= low) & (to < high))
-                    other = stem[to[ok]]
-                    node = np.minimum(np.searchsorted(vertices, other), len(vertices) - 1)
-                    ok, node = ok[vertices[node] == other], node[vertices[node] == other]
-                    key, first = which[hit[ok]] * size + node, once[ok]
-                    pairs.append(key[~first])
-                    single.append(key[first])
-                    contexts.append(context[ok][first])
-                seen.add(np.concatenate(pairs))
-                key, where = np.concatenate(single), np.concatenate(contexts)
-                yield rows(key, np.ones(len(key), np.int64), where)
-        keys, counts = seen.merged()
-        yield rows(keys, counts, np.zeros(len(keys), np.int64))
+                    seed.append(stem[hit[ok]])
+                    other.append(stem[to[ok]])
+                    where.append(context[ok])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (seed, other, where)], ["seed", "stem", "c"])
+
+    return texts.mapInArrow(run, "seed long, stem long, c long").distinct().groupBy("seed", "stem").agg(F.count(F.lit(1)).alias("n"))
+
+
+class _Vocabulary:
+    """Numbers of stems in the order in which a task meets them."""
+
+    def __init__(self) -> None:
+        self.stems, self.numbers = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def of(self, stem: np.ndarray) -> np.ndarray:
+        own, where = np.unique(stem, return_inverse=True)
+        new = np.setdiff1d(own, self.stems, assume_unique=True)
+        if len(new):
+            numbers = np.concatenate([self.numbers, len(self.stems) + np.arange(len(new))])
+            known = np.concatenate([self.stems, new])
+            order = np.argsort(known)
+            self.stems, self.numbers = known[order], numbers[order]
+        return self.numbers[np.searchsorted(self.stems, own)][where]
+
+    def spelled(self) -> np.ndarray:
+        """The stem of every number."""
+        return self.stems[np.argsort(self.numbers)]
+
 
-    def rows(keys: np.ndarray, counts: np.ndarray, where: np.ndarray) -> pa.RecordBatch:
-        columns = (seeds[keys // len(vertices)], vertices[keys % len(vertices)], where, counts)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["seed", "stem", "c", "n"])
+def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a, b, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    first, i = np.unique(a, return_inverse=True)
+    second, j = np.unique(b, return_inverse=True)
+    keys, where = np.unique(i << 32 | j, return_inverse=True)
+    return first[keys >> 32], second[keys & 0xFFFFFFFF], np.bincount(where, n, len(keys)).astype(np.int64)
 
-    pairs = texts.mapInArrow(run, "seed long, stem long, c long, n long").groupBy("seed", "stem", "c").agg(F.sum("n").alias("n"))
-    return pairs.groupBy("seed", "stem").agg(F.sum(F.when(F.col("c") == 0, F.col("n")).otherwise(1)).alias("n"))
+
+def _pairs(texts: DataFrame, least: int = LEAST_TOGETHER, waiting: int = 1 << 22, buckets: int = BUCKETS) -> DataFrame:
+    """``(a, b, n)``, a < b: how often two different stems stand within WINDOW words of each other, if ``least`` times or more.
+
+    A task counts its pairs whenever about ``waiting`` are held and sends them in compressed
+    pieces, one for each bucket of a's hash; a bucket's pieces are summed after the shuffle.
+    """
+
+    def pieces(seen: _Counter, names: _Vocabulary) -> Iterator[pa.RecordBatch]:
+        keys, n = seen.merged()
+        seen.keys, seen.counts = [], []
+        if not len(keys):
+            return
+        stem, by_number = names.stems, names.numbers
+        bucket = (mix64(stem.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        first = np.lexsort((stem, bucket))
+        low, high = np.empty_like(first), np.empty_like(first)
+        low[by_number[first]], high[by_number] = np.arange(len(stem)), np.arange(len(stem))
+        keys = low[keys >> 32] << 32 | high[keys & 0xFFFFFFFF]
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        edge = np.searchsorted(keys >> 32, np.searchsorted(bucket[first], np.arange(buckets + 1)))
+        for k in np.flatnonzero(np.diff(edge)):
+            own, times = keys[edge[k] : edge[k + 1]], n[edge[k] : edge[k + 1]]
+            blob = _packed(stem[first[own >> 32]], stem[own & 0xFFFFFFFF], times)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "rows"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, names = _Counter(1 << 20), _Vocabulary()
+        for batch in batches:
+            for part in chunks(batch, "t"):
+                stem, bounds = stems(part.column("t"))
+                number = names.of(stem)
+                doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                keys = []
+                for step in range(1, WINDOW + 1):
+                    ok = np.flatnonzero((doc[step:] == doc[:-step]) & (stem[step:] != stem[:-step]))
+                    swap = stem[ok] > stem[ok + step]
+                    low, high = number[ok], number[ok + step]
+                    keys.append(np.where(swap, high, low) << 32 | np.where(swap, low, high))
+                seen.add(np.concatenate(keys))
+                if seen.waiting > waiting:
+                    seen.keys, seen.counts = map(list, zip(seen.merged(), strict=True))
+                    seen.waiting = len(seen.keys[0])
+                    if seen.waiting > waiting * 7 // 8:
+                        yield from pieces(seen, names)
+                        seen, names = _Counter(1 << 20), _Vocabulary()
+        yield from pieces(seen, names)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            a, b, n = _summed(parts)
+            ok = n >= least
+            return pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (a, b, n)], ["a", "b", "n"])
+
+        now, parts, held, full = None, [], 0, waiting
+        for bucket, part in _by_bucket(batches):
+            if bucket != now and parts:
+                yield rows(parts)
+                parts, held, full = [], 0, waiting
+            now = bucket
+            parts.append(part)
+            held += len(part[0])
+            if held > full:
+                parts = [_summed(parts)]
+                held = len(parts[0][0])
+                full = held + waiting
+        if parts:
+            yield rows(parts)
+
+    sent = texts.mapInArrow(count, "bucket int, rows binary").repartition("bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(total, "a long, b long, n long")
 
 
 @dataclass(frozen=True)
@@ -268,10 +563,13 @@ def induce(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, seeds: int
         return Lexicon(np.empty(0, np.int64), np.empty(0), float("inf"))
     counts = Table(_counts(texts), "stem-counts")
     total = counts.df.agg(F.sum("n")).first()[0]
-    vertices = counts.df.where(F.col("n") >= max(LEAST_COUNT, SHARE * total)).toPandas()
-    every = np.union1d(vertices["stem"].to_numpy(np.int64), np.concatenate([toxic.stem, calm.stem]))
-    together = _together(texts, toxic.stem, calm.stem, every).where(F.col("n") >= LEAST_TOGETHER)
-    of = counts.df
+    restarts = docs.sparkSession.createDataFrame([(int(x),) for x in toxic.stem], "stem long")
+    pairs = _pairs(texts).toDF("seed", "stem", "n")
+    for end in ("seed", "stem"):
+        pairs = pairs.join(F.broadcast(restarts.toDF("toxic")), F.col(end) == F.col("toxic"), "left_anti")
+    together = pairs.union(_together(texts, toxic.stem).where(F.col("n") >= LEAST_TOGETHER))
+    seeded = np.concatenate([toxic.stem, calm.stem]).tolist()
+    of = counts.df.where((F.col("n") >= max(LEAST_COUNT, SHARE * total)) | F.col("stem").isin(seeded))
     expected = F.col("a.n") * 2 * WINDOW * F.col("b.n") / F.lit(float(total))
     weighed = (
         together.alias("x").join(of.alias("a"), F.col("x.seed") == F.col("a.stem")).join(of.alias("b"), F.col("x.stem") == F.col("b.stem"))
