@@ -31,9 +31,9 @@ from .labelled import LABELLED, labelled_texts
 from .store import Table
 from .text import chunks, mix64, plain
 
-STEM, SEEDS, WINDOW, STEPS, RESTART = 5, 200, 5, 6, 0.2
-#: A stem is a vertex if it makes up this share of all words, so there are at most 1 / SHARE vertices.
-SHARE, LEAST_COUNT, LEAST_TOGETHER, SHIFT = 1e-6, 3, 4, 5.0
+STEM, WINDOW, STEPS, RESTART = 5, 5, 6, 0.2
+#: Uses from which a stem is a vertex, and pairs from which two stems have an edge, whatever the size of the corpus.
+LEAST_COUNT, LEAST_TOGETHER, SHIFT = 3, 4, 5.0
 #: Pieces in which a task sends its pairs.
 BUCKETS = 1024
 #: Likelihood ratio of a toxic seed (about one chance in 16,000); polarity from which a stem is in the lexicon; weight of chance in it.
@@ -478,7 +478,7 @@ class Seeds:
     weight: np.ndarray
 
 
-def choose_seeds(stem: np.ndarray, toxic: np.ndarray, clean: np.ndarray, most: int = SEEDS) -> tuple[Seeds, Seeds]:
+def choose_seeds(stem: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[Seeds, Seeds]:
     """Toxic seeds pass the log-likelihood ratio test for an excess of toxic documents; calm seeds are the most frequent that lean to clean."""
     none = Seeds(np.empty(0, np.int64), np.empty(0))
     if not toxic.sum() or not clean.sum():
@@ -488,7 +488,7 @@ def choose_seeds(stem: np.ndarray, toxic: np.ndarray, clean: np.ndarray, most: i
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * (np.where(toxic > 0, toxic * np.log(toxic / (n * rate)), 0) + np.where(clean > 0, clean * np.log(clean / (n * (1 - rate))), 0))
     order = np.lexsort((stem, -g))
-    good = order[(g[order] >= STANDS_OUT) & (ratio[order] > 3)][:most]
+    good = order[(g[order] >= STANDS_OUT) & (ratio[order] > 3)]
     common = np.lexsort((stem, -clean))
     calm = common[(ratio[common] <= 1) & (clean[common] > 0)][: 2 * len(good)]
     if not len(good) or not len(calm):
@@ -552,12 +552,12 @@ def best_cut(s: np.ndarray, y: np.ndarray) -> float:
     return float((values[k] + (values[k - 1] if k else 0.0)) / 2)
 
 
-def induce(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, seeds: int = SEEDS, steps: int = STEPS) -> Lexicon:
+def induce(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, steps: int = STEPS) -> Lexicon:
     """The lexicon of a corpus. Without toxic and clean labels it is empty and no document is toxic."""
     texts = docs.select(F.col("text").alias("t"))
     sample = Table(labelled_texts(docs, labels, "toxic", limit), "toxic-sample")
     known = _contexts(sample.df).toPandas().sort_values("stem")
-    toxic, calm = choose_seeds(*(known[c].to_numpy(np.int64) for c in ("stem", "toxic", "clean")), seeds)
+    toxic, calm = choose_seeds(*(known[c].to_numpy(np.int64) for c in ("stem", "toxic", "clean")))
     if not len(toxic.stem):
         sample.drop()
         return Lexicon(np.empty(0, np.int64), np.empty(0), float("inf"))
@@ -568,15 +568,15 @@ def induce(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, seeds: int
     for end in ("seed", "stem"):
         pairs = pairs.join(F.broadcast(restarts.toDF("toxic")), F.col(end) == F.col("toxic"), "left_anti")
     together = pairs.union(_together(texts, toxic.stem).where(F.col("n") >= LEAST_TOGETHER))
-    seeded = np.concatenate([toxic.stem, calm.stem]).tolist()
-    of = counts.df.where((F.col("n") >= max(LEAST_COUNT, SHARE * total)) | F.col("stem").isin(seeded))
+    seeded = docs.sparkSession.createDataFrame([(int(x),) for x in np.concatenate([toxic.stem, calm.stem])], "stem long")
+    of = counts.df.where(F.col("n") >= LEAST_COUNT).union(counts.df.where(F.col("n") < LEAST_COUNT).join(F.broadcast(seeded), "stem", "left_semi"))
     expected = F.col("a.n") * 2 * WINDOW * F.col("b.n") / F.lit(float(total))
     weighed = (
         together.alias("x").join(of.alias("a"), F.col("x.seed") == F.col("a.stem")).join(of.alias("b"), F.col("x.stem") == F.col("b.stem"))
         .select("x.seed", "x.stem", (F.log(F.col("x.n") / expected) - float(np.log(SHIFT))).alias("w")).where("w > 0 and seed <> x.stem")
     )
     one = Table(weighed, "seed-edges")
-    both = one.df.select(F.col("seed").alias("src"), F.col("stem").alias("dst"), "w").union(one.df.select("stem", "seed", "w")).groupBy("src", "dst").agg(F.max("w").alias("w"))
+    both = one.df.select(F.col("seed").alias("src"), F.col("stem").alias("dst"), "w").union(one.df.select("stem", "seed", "w")).repartition("src").groupBy("src", "dst").agg(F.max("w").alias("w"))
     out = both.groupBy("src").agg(F.sum("w").alias("all"))
     edges = Table(both.join(out, "src").select("src", "dst", (F.col("w") / F.col("all")).alias("w")), "walk-edges")
     visited = _walk(edges.df, toxic, calm, steps, RESTART).join(counts.df, "stem")
