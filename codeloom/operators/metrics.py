@@ -35,10 +35,11 @@ def ranked(functions: DataFrame) -> DataFrame:
     return functions.withColumn("rank", cc_rank(F.col("cc")))
 
 
-def quality_gates(metrics: DataFrame, unused: DataFrame, definitions: int, most_unused: float = 5.0, most_complexity: int = 10, least_mi: float = 40.0) -> DataFrame:
+def quality_gates(metrics: DataFrame, unused: DataFrame, definitions: DataFrame, most_unused: float = 5.0, most_complexity: int = 10, least_mi: float = 40.0) -> DataFrame:
     """``(gate, actual, threshold, passed)``: share of unused definitions, largest complexity, mean MI."""
     worst = metrics.agg(F.coalesce(F.max("complexity"), F.lit(0)).cast("double").alias("c"), F.coalesce(F.avg(F.when(F.col("mi") > 0, F.col("mi"))), F.lit(0.0)).alias("m"))
-    share = unused.agg((F.count(F.lit(1)) * 100 / F.lit(max(1, definitions))).alias("u"))
+    every = definitions.agg(F.greatest(F.lit(1), F.count(F.lit(1))).alias("d"))
+    share = unused.agg(F.count(F.lit(1)).alias("n")).crossJoin(every).select((F.col("n") * 100 / F.col("d")).alias("u"))
     row = F.explode(F.array(*[F.struct(F.lit(g).alias("gate"), a.alias("actual"), F.lit(float(t)).alias("threshold"), p.alias("passed")) for g, a, t, p in (
         ("unused_percent", F.col("u"), most_unused, F.col("u") <= most_unused),
         ("max_complexity", F.col("c"), most_complexity, F.col("c") <= most_complexity),

@@ -211,7 +211,8 @@ def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = g.sources(spark, sf_dir, g.branches())
     functions = facts.functions(facts.facts(files, "function"))
     raw = metrics.raw_metrics(files, "path", "source")
-    return metrics.quality_gates(metrics.file_metrics(raw, functions), graph.unused_definitions(facts.facts(files, "def", "ref")), 1000)
+    named = facts.facts(files, "def", "ref")
+    return metrics.quality_gates(metrics.file_metrics(raw, functions), graph.unused_definitions(named), named.where("kind = 'def'"))
 
 
 @_query()
