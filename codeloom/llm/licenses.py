@@ -7,7 +7,8 @@ document up in it gives hits; hits of one template whose diagonals (place in
 document less place in template) lie within the band of each other are a
 candidate. It is aligned with the template by a local alignment limited to
 the band around these diagonals: a match scores 2, a mismatch or a gap -1.
-An alignment is reported if it covers at least COVERAGE of the template's words. Where
+An alignment is reported if it covers at least COVERAGE of the template's words. The text
+on either side of it is aligned again, until none does. Where
 reports of one document overlap, the one with the highest coverage, then the
 most matched words, stays.
 """
@@ -125,11 +126,16 @@ def scan_text(text: np.ndarray, candidates: list[tuple[int, int, int]], index: I
     found = []
     for template, low, high in candidates:
         own = index.words[template]
-        begin = max(0, low - band)
-        part = text[begin : high + band + len(own) + 1]
-        matched, first, last = align(own, part, low - begin - band, high - begin + band)
-        if matched >= least * len(own):
-            found.append((template, matched / len(own), matched, begin + first, begin + last))
+        rest = [(max(0, low - band), min(len(text), high + band + len(own) + 1))]
+        while rest:
+            begin, end = rest.pop()
+            if end - begin < least * len(own):
+                continue
+            first_diagonal, last_diagonal = max(low - band, begin - len(own)), min(high + band, end)
+            matched, first, last = align(own, text[begin:end], first_diagonal - begin, last_diagonal - begin)
+            if matched >= least * len(own):
+                found.append((template, matched / len(own), matched, begin + first, begin + last))
+                rest += [(begin, begin + first), (begin + last + 1, end)]
     kept: list[tuple[int, float, int, int, int]] = []
     for x in sorted(found, key=lambda x: (-x[1], -x[2], x[3], x[0])):
         if all(x[3] > y[4] or x[4] < y[3] for y in kept):
