@@ -64,6 +64,18 @@ def secret_scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.col("line").cast("long").alias("line"), "rule_id", "severity", F.col("confidence").cast("long").alias("confidence"))
 
 
+@_query()
+def secret_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_findings(_docs(spark, sf_dir), "doc_id", "text")
+    return found.select("doc_id", F.col("line").cast("long").alias("line"), "rule_id", "severity", F.col("confidence").cast("long").alias("confidence"))
+
+
+@_query()
+def secret_scan_pages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_findings(_docs(spark, sf_dir, "pages"), "page_id", "html")
+    return found.select("page_id", F.col("line").cast("long").alias("line"), "rule_id", "severity", F.col("confidence").cast("long").alias("confidence"))
+
+
 @_query()
 def entropy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.entropy_hits(lines(_docs(spark, sf_dir), "doc_id", "text"), "doc_id").select("doc_id", "line", "rule_id", "matched_value", F.round("entropy", 6).alias("entropy"))
