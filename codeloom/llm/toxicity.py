@@ -397,7 +397,7 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.
     return first[keys >> 32], second[keys & 0xFFFFFFFF], np.bincount(where, n, len(keys)).astype(np.int64)
 
 
-def _pairs(texts: DataFrame, least: int = LEAST_TOGETHER, waiting: int = 1 << 22, buckets: int = BUCKETS) -> DataFrame:
+def _pairs(texts: DataFrame, least: int = LEAST_TOGETHER, waiting: int = 1 << 21, buckets: int = BUCKETS) -> DataFrame:
     """``(a, b, n)``, a < b: how often two different stems stand within WINDOW words of each other, if ``least`` times or more.
 
     A task counts its pairs whenever about ``waiting`` are held and sends them in compressed
@@ -424,7 +424,7 @@ def _pairs(texts: DataFrame, least: int = LEAST_TOGETHER, waiting: int = 1 << 22
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "rows"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, names = _Counter(1 << 20), _Vocabulary()
+        seen, names = _Counter(1 << 19), _Vocabulary()
         for batch in batches:
             for part in chunks(batch, "t"):
                 stem, bounds = stems(part.column("t"))
@@ -442,7 +442,7 @@ def _pairs(texts: DataFrame, least: int = LEAST_TOGETHER, waiting: int = 1 << 22
                     seen.waiting = len(seen.keys[0])
                     if seen.waiting > waiting * 7 // 8:
                         yield from pieces(seen, names)
-                        seen, names = _Counter(1 << 20), _Vocabulary()
+                        seen, names = _Counter(1 << 19), _Vocabulary()
         yield from pieces(seen, names)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
