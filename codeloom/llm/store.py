@@ -2,7 +2,8 @@
 
 They are written to the shared folder named by ``spark.checkpoint.dir``, so a
 lost executor costs a retry and no data. Only a local session without that
-setting gets a folder of its own.
+setting gets a folder of its own. Tables that a lazy result still reads can't be dropped by
+the operator that wrote them; whatever is left is deleted when the application ends.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+_left: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,14 +35,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/codeloom-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/codeloom-{name}-{uuid.uuid4().hex[:12]}"
+    if not _left:
+        atexit.register(_clear)
+    _left[path] = spark
+    return path
 
 
 def delete(spark: SparkSession, path: str) -> None:
+    _left.pop(path, None)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _clear() -> None:
+    for path, spark in list(_left.items()):
+        try:
+            delete(spark, path)
+        except Exception:  # the JVM has gone
+            return
+
+
 class Table:
     """A DataFrame written to the shared folder; ``drop`` removes the files once nothing reads them."""
 
