@@ -10,9 +10,12 @@ Every run of PHRASE words of a test item is an exact-phrase query. In each
 segment the lists of its terms are intersected after subtracting the term's
 place in the phrase, from the term with the fewest documents in the corpus
 to the one with the most, so a query ends at its first empty intersection.
-Adjacent matches of an item are merged. Proximity matches are documents in
-which at least NEAR_SHARE of the NEAR_TERMS rarest terms of an item stand within a
-window of NEAR_WIDTH times the item's length.
+Adjacent matches of an item are merged. A proximity match is a window of less than NEAR_WIDTH times
+the item's length in words that holds at least NEAR_SHARE of the item's different terms, if these
+are NEAR_LEAST or more, and whose terms are evidence of NEAR_BITS bits: a term of which
+a window holds x by chance counts -log2(min(1, x)), so frequent words alone don't match. Any such window
+holds some of the item's rarest terms, so only documents with enough of these are looked at.
+Overlapping windows are one match.
 """
 
 from __future__ import annotations
@@ -30,11 +33,9 @@ from .store import Table
 from .text import chunks, plain, words
 
 PHRASE, SEGMENT_WORDS = 8, 1_000_000
-NEAR_TERMS, NEAR_SHARE, NEAR_WIDTH = 8, 0.75, 2.0
-#: A proximity term occurs in at most this share of the documents (or in 3, if that is more).
-RARE_SHARE = 0.01
-#: The queries are shipped to every task. Beyond so many distinct terms, search the benchmark in parts.
-MOST_TERMS = 5_000_000
+NEAR_LEAST, NEAR_SHARE, NEAR_WIDTH, NEAR_BITS = 5, 0.75, 2.0, 24.0
+#: Bytes of benchmark text whose queries are broadcast at a time; a larger benchmark is searched in parts.
+MOST_BYTES = 16 << 20
 
 _SEGMENT = "ids binary, bounds binary, terms binary, lengths binary, docs binary, places binary"
 _MATCH = "doc_id long, item_id long, kind string, doc_word long, item_word long, n_words long"
@@ -83,22 +84,44 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
     return narrow.mapInArrow(run, _SEGMENT)
 
 
-def document_frequencies(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
-    """The number of documents that hold each of the terms. Only the term columns of the index are read."""
-    terms = np.sort(terms)
+def frequencies(index: DataFrame, terms: np.ndarray) -> tuple[dict[int, tuple[int, int]], int]:
+    """Documents that hold each of the terms and its uses, and the number of all words. Only the term columns of the index are read."""
+    shared = index.sparkSession.sparkContext.broadcast(np.sort(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(terms), np.int64)
+        terms = shared.value
+        total, words_held = np.zeros((2, len(terms)), np.int64), 0
         for batch in batches:
-            for own, docs in zip(batch.column("terms"), batch.column("docs"), strict=True):
-                here, n = np.frombuffer(own.as_buffer(), np.uint64), np.frombuffer(docs.as_buffer(), np.uint32)
+            for own, docs, lengths in zip(batch.column("terms"), batch.column("docs"), batch.column("lengths"), strict=True):
+                here = np.frombuffer(own.as_buffer(), np.uint64)
                 at = np.minimum(np.searchsorted(here, terms), len(here) - 1)
-                total += np.where(here[at] == terms, n[at], 0)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(terms[some].view(np.int64)), pa.array(total[some])], ["term", "n"])
+                for row, column in zip(total, (docs, lengths), strict=True):
+                    n = np.frombuffer(column.as_buffer(), np.uint32)
+                    row += np.where(here[at] == terms, n[at], 0)
+                words_held += int(n.sum(dtype=np.int64))
+        some = np.flatnonzero(total[0])
+        columns = [np.append(terms[some].view(np.int64), 0), np.append(total[0, some], 0), np.append(total[1, some], words_held), np.append(np.zeros(len(some), bool), True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["term", "docs", "uses", "all"])
 
-    rows = index.select("terms", "docs").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    return {int(np.int64(r.term).view(np.uint64)): r.n for r in rows}
+    counted = index.select("terms", "docs", "lengths").mapInArrow(run, "term long, docs long, uses long, all boolean")
+    rows = counted.groupBy("term", "all").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("uses")).collect()
+    return {int(np.int64(r.term).view(np.uint64)): (r.docs, r.uses) for r in rows if not r["all"]}, sum(r.uses for r in rows if r["all"])
+
+
+@dataclass(frozen=True)
+class Near:
+    """An item's different terms from rarest to most frequent, the evidence of each, how many a window needs, how many of the first ``lead`` it then holds at least, and its width."""
+
+    item: int
+    terms: np.ndarray
+    bits: np.ndarray
+    need: int
+    lead: int
+    width: int
+
+    @property
+    def lead_need(self) -> int:
+        return self.lead - (len(self.terms) - self.need)
 
 
 @dataclass(frozen=True)
@@ -110,16 +133,15 @@ class Queries:
     phrase_start: np.ndarray
     phrase_size: np.ndarray
     order: np.ndarray
-    near: list[tuple[int, np.ndarray, int]]
+    near: list[Near]
 
 
-def plan(items: list[tuple[int, np.ndarray]], frequency: dict[int, int], documents: int, phrase: int = PHRASE) -> Queries:
-    """Queries whose terms all occur in the corpus; no other can match."""
+def plan(items: list[tuple[int, np.ndarray]], frequency: dict[int, tuple[int, int]], total: int, phrase: int = PHRASE) -> Queries:
+    """Phrase queries whose terms all occur in the corpus, and proximity queries enough of whose terms do; no other can match."""
     which, start, size, order, near = [], [], [], [], []
-    limit = max(3, RARE_SHARE * documents)
     for k, (_, terms) in enumerate(items):
         n = min(phrase, len(terms))
-        df = np.array([frequency.get(int(t), 0) for t in terms], dtype=np.int64)
+        df, uses = np.array([frequency.get(int(t), (0, 0)) for t in terms], dtype=np.int64).T
         for s in range(len(terms) - n + 1 if n else 0):
             own = df[s : s + n]
             if own.min() > 0:
@@ -128,11 +150,13 @@ def plan(items: list[tuple[int, np.ndarray]], frequency: dict[int, int], documen
                 size.append(n)
                 order.append(np.pad(np.argsort(own, kind="stable"), (0, phrase - n)))
         distinct, first = np.unique(terms, return_index=True)
-        rank = np.lexsort((distinct, df[first]))[:NEAR_TERMS]
-        need = int(np.ceil(NEAR_SHARE * NEAR_TERMS))
-        usable = distinct[rank][(df[first][rank] > 0) & (df[first][rank] <= limit)]
-        if len(usable) >= need:
-            near.append((k, usable, need))
+        need, width = int(np.ceil(NEAR_SHARE * len(distinct))), int(NEAR_WIDTH * len(terms))
+        if len(distinct) >= NEAR_LEAST and np.count_nonzero(df[first]) >= need:
+            rank = np.lexsort((distinct, uses[first]))
+            chance = width * uses[first][rank] / total
+            bits = np.where(chance > 0, -np.log2(np.clip(chance, 1e-300, 1)), 0.0)
+            if bits.sum() >= NEAR_BITS:
+                near.append(Near(k, distinct[rank], bits, need, min(len(distinct), 2 * (len(distinct) - need + 1)), width))
     shape = np.array(order, dtype=np.int64).reshape(-1, phrase)
     return Queries(items, *(np.array(x, dtype=np.int64) for x in (which, start, size)), shape, near)
 
@@ -143,7 +167,7 @@ class _Segment:
         self.ids, self.bounds, self.terms = read("ids", np.int64), read("bounds", np.int64), read("terms", np.uint64)
         self.edge = np.concatenate([[0], np.cumsum(read("lengths", np.uint32), dtype=np.int64)])
         gaps = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["places"].as_buffer()), np.uint32)
-        self.gaps = gaps
+        self.gaps, self.lists = gaps, {}
 
     def find(self, terms: np.ndarray) -> np.ndarray:
         """Index of each term, or -1."""
@@ -151,7 +175,9 @@ class _Segment:
         return np.where(self.terms[at] == terms, at, -1)
 
     def postings(self, term: int) -> np.ndarray:
-        return np.cumsum(self.gaps[self.edge[term] : self.edge[term + 1]], dtype=np.int64)
+        if term not in self.lists:
+            self.lists[term] = np.cumsum(self.gaps[self.edge[term] : self.edge[term + 1]], dtype=np.int64)
+        return self.lists[term]
 
     def doc(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, places, side="right") - 1
@@ -166,7 +192,6 @@ def _phrases(segment: _Segment, q: Queries) -> list[tuple[np.ndarray, ...]]:
     for step in range(q.order.shape[1]):
         term = known[edge[q.phrase_item[alive]] + q.phrase_start[alive] + q.order[alive, step]]
         alive = alive[(term >= 0) | (step >= q.phrase_size[alive])]
-    lists: dict[int, np.ndarray] = {}
     found = []
     for p in alive:
         item, start, size = int(q.phrase_item[p]), int(q.phrase_start[p]), int(q.phrase_size[p])
@@ -174,9 +199,7 @@ def _phrases(segment: _Segment, q: Queries) -> list[tuple[np.ndarray, ...]]:
         for step in range(size):
             offset = int(q.order[p, step])
             term = int(known[base + offset])
-            if term not in lists:
-                lists[term] = segment.postings(term)
-            places = lists[term] - offset
+            places = segment.postings(term) - offset
             if at is None:
                 at = places
             else:
@@ -202,48 +225,70 @@ def _phrases(segment: _Segment, q: Queries) -> list[tuple[np.ndarray, ...]]:
     return [(doc[head], item[head], at[head], start[head], start[last] + size[last] - start[head])]
 
 
+def _windows(p: np.ndarray, kind: np.ndarray, q: Near) -> Iterator[tuple[int, int]]:
+    """First and last place of every match among the sorted places p of the terms ``kind`` in one document."""
+    seen, different, bits, low, open_ = [0] * len(q.terms), 0, 0.0, 0, None
+    weight, p, kind = q.bits.tolist(), p.tolist(), kind.tolist()
+    for high, (at, k) in enumerate(zip(p, kind, strict=True)):
+        if not seen[k]:
+            different, bits = different + 1, bits + weight[k]
+        seen[k] += 1
+        while at - p[low] >= q.width:
+            j = kind[low]
+            seen[j] -= 1
+            if not seen[j]:
+                different, bits = different - 1, bits - weight[j]
+            low += 1
+        if different >= q.need and bits >= NEAR_BITS - 1e-9:
+            left = low
+            while seen[kind[left]] > 1:  # the shortest of the windows that end here
+                seen[kind[left]] -= 1
+                left += 1
+            for k2 in kind[low:left]:
+                seen[k2] += 1
+            if open_ and p[left] <= open_[1]:
+                open_ = open_[0], at
+            else:
+                if open_:
+                    yield open_
+                open_ = p[left], at
+    if open_:
+        yield open_
+
+
 def _near(segment: _Segment, q: Queries) -> list[tuple[np.ndarray, ...]]:
-    found = []
     if not q.near:
-        return found
-    sizes = np.array([len(t) for _, t, _ in q.near])
-    at = segment.find(np.concatenate([t for _, t, _ in q.near]))
-    present = np.add.reduceat(at >= 0, np.cumsum(sizes) - sizes)
-    for (item, terms, need), base, have in zip(q.near, np.cumsum(sizes) - sizes, present, strict=True):
-        if have < need:
+        return []
+    sizes = np.array([len(x.terms) for x in q.near])
+    base = np.cumsum(sizes) - sizes
+    at = segment.find(np.concatenate([x.terms for x in q.near]))
+    present = np.concatenate([[0], np.cumsum(at >= 0)])
+    lead, need, least = (np.array([getattr(x, c) for x in q.near]) for c in ("lead", "lead_need", "need"))
+    rows = []
+    for k in np.flatnonzero((present[base + lead] - present[base] >= need) & (present[base + sizes] - present[base] >= least)):
+        x, own = q.near[k], at[base[k] : base[k] + sizes[k]]
+        docs = [np.unique(segment.doc(segment.postings(int(t)))) for t in own[: x.lead] if t >= 0]
+        full, n = np.unique(np.concatenate(docs), return_counts=True)
+        full = full[n >= x.lead_need]
+        if not len(full):
             continue
-        own = at[base : base + len(terms)]
-        lists = [segment.postings(int(t)) for t in own if t >= 0]
-        places = np.concatenate(lists)
-        kind = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        doc = segment.doc(places)
-        pair = np.unique(doc * np.int64(len(lists)) + kind) // len(lists)
-        full, n = np.unique(pair, return_counts=True)
-        width = int(NEAR_WIDTH * len(q.items[item][1]))
-        for d in full[n >= need]:
-            mine = doc == d
-            order = np.argsort(places[mine], kind="stable")
-            p, k = places[mine][order], kind[mine][order]
-            seen, different, low, best = np.zeros(len(lists), np.int64), 0, 0, (0, 0, 0)
-            for high in range(len(p)):
-                different += seen[k[high]] == 0
-                seen[k[high]] += 1
-                while p[high] - p[low] >= width:
-                    seen[k[low]] -= 1
-                    different -= seen[k[low]] == 0
-                    low += 1
-                if different > best[0]:
-                    best = (int(different), int(p[low]), int(p[high]))
-            if best[0] >= need:
-                found.append(tuple(np.array([x]) for x in (d, item, best[1] - segment.bounds[d], 0, best[2] - best[1] + 1)))
-    return found
+        lists = [segment.postings(int(t)) if t >= 0 else segment.bounds[:0] for t in own]
+        low, high = ([np.searchsorted(x, segment.bounds[full + i]) for x in lists] for i in (0, 1))
+        for i in np.flatnonzero(np.sum([a < b for a, b in zip(low, high, strict=True)], axis=0) >= x.need):
+            spans = [y[a[i] : b[i]] for y, a, b in zip(lists, low, high, strict=True)]
+            places, kind = np.concatenate(spans), np.repeat(np.arange(len(spans)), [len(y) for y in spans])
+            order = np.argsort(places, kind="stable")
+            rows += [(full[i], x.item, first - segment.bounds[full[i]], 0, last - first + 1) for first, last in _windows(places[order], kind[order], x)]
+    return [tuple(np.array(c) for c in zip(*rows, strict=True))] if rows else []
 
 
 def search(index: DataFrame, queries: Queries) -> DataFrame:
     """``(doc_id, item_id, kind, doc_word, item_word, n_words)``: phrase and proximity matches of all items in all documents."""
-    items = np.array([i for i, _ in queries.items], dtype=np.int64)
+    shared = index.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = shared.value
+        items = np.array([i for i, _ in queries.items], dtype=np.int64)
         for batch in batches:
             for k in range(batch.num_rows):
                 segment = _Segment({c: batch.column(c)[k] for c in batch.schema.names})
@@ -261,26 +306,31 @@ def benchmark_items(benchmark: DataFrame) -> list[tuple[int, np.ndarray]]:
     rows = rows.sort_values(["id", "t"], kind="stable")
     w = words(plain(pa.array(rows["t"], pa.string(), from_pandas=True)))
     items = [(int(i), w.hash[w.bounds[k] : w.bounds[k + 1]]) for k, i in enumerate(rows["id"])]
-    if len(w.hash) > MOST_TERMS:
-        raise ValueError(f"the benchmark has {len(w.hash)} words; search it in parts of at most {MOST_TERMS}")
     return [x for x in items if len(x[1])]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, most_bytes: int = MOST_BYTES) -> DataFrame:
     """All matches of the benchmark's items in docs, from an index of all of docs' words.
 
     doc_word and item_word count words from 0; n_words is the length of the matching passage. Items
-    shorter than ``phrase`` words match whole. Texts that are null, empty or without words match nothing,
-    as do rows without a doc_id. Repeated documents are reported each. Only doc_id, item_id and text are read.
+    shorter than ``phrase`` words match whole; those of fewer than NEAR_LEAST different terms have no proximity matches. Texts that are
+    null, empty or without words match nothing, as do rows without a doc_id. Repeated documents are reported each. A benchmark of
+    more than ``most_bytes`` is searched in parts, over one index. Only doc_id, item_id and text are read.
     """
     index = Table(build_index(docs), "positional-index")
-    items = benchmark_items(benchmark)
-    terms = np.unique(np.concatenate([t for _, t in items])) if items else np.empty(0, np.uint64)
-    frequency = document_frequencies(index.df, terms) if len(terms) else {}
-    queries = plan(items, frequency, docs.count(), phrase)
-    found = Table(search(index.df, queries), "benchmark-matches")
+    parts = -(-(benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // most_bytes)
+    made = []
+    for k in range(max(1, parts)):
+        own = benchmark if parts < 2 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+        items = benchmark_items(own)
+        terms = np.unique(np.concatenate([t for _, t in items])) if items else np.empty(0, np.uint64)
+        frequency, total = frequencies(index.df, terms) if len(terms) else ({}, 0)
+        made.append(Table(search(index.df, plan(items, frequency, total, phrase)), "benchmark-matches").df)
     index.drop()
-    return found.df
+    found = made[0]
+    for more in made[1:]:
+        found = found.union(more)
+    return found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE) -> DataFrame:
