@@ -22,33 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEMPLATES
 from .text import chunks, plain, shingles, words
 
 GRAM, WINNOW, BAND, COVERAGE = 3, 2, 6, 0.8
-TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-)
 _ROW = "doc_id long, license string, template int, coverage double, matched int, first_word long, last_word long"
 
 
@@ -68,13 +45,15 @@ class Index:
         self.words = [w.hash[w.bounds[k] : w.bounds[k + 1]] for k in range(len(texts))]
         hashes, bounds = shingles(w, gram)
         kept = [(hashes[bounds[k] : bounds[k + 1]], k) for k in range(len(texts))]
-        rows = [(h[p], k, p) for h, k in kept for p in winnow(h, window)]
-        key, template, place = (np.array(x) for x in zip(*rows, strict=True))
+        rows = [(h[p], k, p) for h, k in kept for p in winnow(h, window).tolist()]
+        key, template, place = (np.concatenate([np.array([x[k]], kind) for x in rows] or [np.empty(0, kind)]) for k, kind in enumerate((np.uint64, np.int64, np.int64)))
         order = np.argsort(key, kind="stable")
         self.key, self.template, self.place, self.gram = key[order], template[order], place[order], gram
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place in hashes, template and place in it of every shared gram."""
+        if not len(self.key):
+            return (np.empty(0, np.int64),) * 3
         low = np.searchsorted(self.key, hashes)
         found = np.flatnonzero(self.key[np.minimum(low, len(self.key) - 1)] == hashes)
         low, high = low[found], np.searchsorted(self.key, hashes[found], side="right")
@@ -83,30 +62,35 @@ class Index:
         return np.repeat(found, n), self.template[at], self.place[at]
 
 
-def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """Matched words, first and last place in text of the best local alignment with low <= place in text - place in template <= high."""
+#: An alignment as one number that compares like (score, matched, start + 1).
+_SCORE, _MATCH = 1 << 44, 1 << 26
+
+
+def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int, int]:
+    """Score, matched words, first and last place in text of the best local alignment with low <= place in text - place in template <= high.
+
+    Rows are template words; a row is computed at once, gaps in it as a running maximum.
+    """
     width = high - low + 1
-    above = [(0, 0, -1)] * (width + 1)
-    best = (0, 0, -1, -1)
+    step = np.arange(width) * _SCORE
+    above = np.zeros(width + 1, np.int64)
+    best = (0, -1)
     for i, word in enumerate(template):
-        now, left = [], (0, 0, -1)
-        for b in range(width):
-            j = i + low + b
-            if not 0 <= j < len(text):
-                left = (0, 0, -1)
-                now.append(left)
-                continue
-            equal = word == text[j]
-            score, matched, start = above[b]
-            options = [(score + (2 if equal else -1), matched + equal, start if score else j), (above[b + 1][0] - 1, *above[b + 1][1:]), (left[0] - 1, *left[1:])]
-            left = max(options)
-            if left[0] <= 0:
-                left = (0, 0, -1)
-            now.append(left)
-            if left[0] > best[0]:
-                best = (left[0], left[1], left[2], j)
-        above = [*now, (0, 0, -1)]
-    return best[1:]
+        begin, end = max(0, -i - low), min(width, len(text) - i - low)
+        now = np.zeros(width + 1, np.int64)
+        if begin < end:
+            j = np.arange(i + low + begin, i + low + end)
+            before = above[begin:end]
+            value = np.where(before > 0, before, j + 1) + np.where(text[j] == word, 2 * _SCORE + _MATCH, -_SCORE)
+            value = np.maximum(value, above[begin + 1 : end + 1] - _SCORE)
+            value = np.maximum.accumulate(value + step[begin:end]) - step[begin:end]
+            now[begin:end] = np.where(value >= _SCORE, value, 0)
+            k = int(np.argmax(now[:width] // _SCORE))
+            if now[k] // _SCORE > best[0] // _SCORE:
+                best = (int(now[k]), i + low + k)
+        above = now
+    found, last = best
+    return found // _SCORE, found % _SCORE // _MATCH, found % _MATCH - 1, last
 
 
 def _candidates(doc: np.ndarray, template: np.ndarray, diagonal: np.ndarray, band: int) -> Iterator[tuple[int, int, int, int]]:
@@ -132,7 +116,7 @@ def scan_text(text: np.ndarray, candidates: list[tuple[int, int, int]], index: I
             if end - begin < least * len(own):
                 continue
             first_diagonal, last_diagonal = max(low - band, begin - len(own)), min(high + band, end)
-            matched, first, last = align(own, text[begin:end], first_diagonal - begin, last_diagonal - begin)
+            _, matched, first, last = align(own, text[begin:end], first_diagonal - begin, last_diagonal - begin)
             if matched >= least * len(own):
                 found.append((template, matched / len(own), matched, begin + first, begin + last))
                 rest += [(begin, begin + first), (begin + last + 1, end)]
