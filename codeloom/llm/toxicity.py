@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
@@ -42,7 +43,7 @@ LEAST_COUNT, LEAST_TOGETHER, SHIFT = 5, 4, 5.0
 #: Likelihood ratio of a toxic seed and of an edge (about one chance in 16,000); polarity from which a word is in the lexicon; weight of chance in it.
 STANDS_OUT, POLAR, LIFT = 16.0, 0.5, 10.0
 #: Words with a short code in the pieces that tasks send; those of them whose pairs a task counts in an array; entries a task holds; words of the lexicon in one broadcast.
-CODED, DENSE, WAITING, PART = 1 << 16, 1 << 12, 1 << 21, 1 << 20
+CODED, DENSE, WAITING, PART = 1 << 16, 1 << 12, 3 << 19, 1 << 20
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -166,6 +167,19 @@ def _word_counts(texts: DataFrame, buckets: int = 1024, waiting: int = WAITING)
     return _sent(texts.mapInArrow(count, "bucket int, rows binary")).mapInArrow(total, "word long, n long")
 
 
+def _most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
+    """At most ``most`` of the most frequent words in falling order, without a sort of all words: those above a bound that a histogram gives."""
+    band = F.floor(F.log2("n") * 16)
+    left, least = most, None
+    for r in counts.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("band")).collect():  # some hundreds
+        left -= r.words
+        if left < 0:
+            break
+        least = r.band
+    rows = counts.where(band >= least if least is not None else F.lit(False)).toPandas()
+    return rows.sort_values(["n", "word"], ascending=[False, True])
+
+
 def _document_counts(sample: DataFrame) -> DataFrame:
     """``(word, toxic, clean)``: labelled documents of either class that hold the word."""
 
@@ -263,8 +277,10 @@ class _Codes:
 
     def of(self, word: np.ndarray) -> np.ndarray:
         """The code of each word, -1 for others that may be vertices, or -2."""
-        at = np.minimum(np.searchsorted(self.sorted, word), len(self.sorted) - 1)
-        code = np.where(self.sorted[at] == word, self.order[at], -1)
+        code = np.full(len(word), -1)
+        if len(self.sorted):
+            at = np.minimum(np.searchsorted(self.sorted, word), len(self.sorted) - 1)
+            code = np.where(self.sorted[at] == word, self.order[at], -1)
         rest = np.flatnonzero(code < 0)
         code[rest[~may_hold(self.filter, _probes(word[rest]))]] = -2
         return code
@@ -532,7 +548,7 @@ def induce(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, steps: int
         return Lexicon(np.empty(0, np.int64), np.empty(0), float("inf"))
     counts = Table(_word_counts(texts), "word-counts")
     total = counts.df.agg(F.sum("n")).first()[0]
-    often = counts.df.orderBy(F.desc("n"), "word").limit(coded).toPandas()
+    often = _most_frequent(counts.df, coded)
     vertices = bloom(counts.df.where(F.col("n") >= LEAST_COUNT).select(F.col("word").alias("d1"), F.shiftright("word", 27).alias("d2")))
     shared = spark.sparkContext.broadcast(_Codes(often["word"].to_numpy(np.int64), often["n"].to_numpy(np.int64), np.sort(toxic.word), total, vertices))
     found = Table(_pairs(texts, shared, buckets=min(max(total >> 19, 64), 1 << 14)), "word-pairs")
@@ -543,17 +559,17 @@ def induce(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, steps: int
         found.df.where("w is null").alias("x").join(of.alias("a"), F.col("x.a") == F.col("a.word")).join(of.alias("b"), F.col("x.b") == F.col("b.word"))
         .where((lift > float(np.log(SHIFT))) & (2 * (F.col("x.n") * lift - F.col("x.n") + expected) >= STANDS_OUT)).select("x.a", "x.b", (lift - float(np.log(SHIFT))).cast("float").alias("w"))
     )
-    one = found.df.where("w is not null").select("a", "b", "w").union(weighed)
-    both = one.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"), "w").select("e.src", "e.dst", "w").repartition("src")
+    one = Table(found.df.where("w is not null").select("a", "b", "w").union(weighed), "word-edges")
+    both = one.df.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"), "w").select("e.src", "e.dst", "w")
     weights = Table(both.groupBy(F.col("src").alias("word")).agg(F.sum("w").alias("all")), "out-weights")
-    visited = _walk(both, weights.df, toxic, calm, steps, RESTART).join(counts.df, "word")
+    visited = _walk(both.repartition("src"), weights.df, toxic, calm, steps, RESTART).join(counts.df, "word")
     polar = visited.select("word", ((F.col("p") - F.col("q")) / (F.col("p") + F.col("q") + F.col("n") * (LIFT / total))).alias("polarity"))
     made = polar.where(F.col("polarity") >= POLAR).toPandas().sort_values("word")
     against = known.df.where("clean > toxic").select("word").toPandas()["word"]
     made = made[~made["word"].isin(against)]
     lexicon = Lexicon(made["word"].to_numpy(np.int64), np.round(made["polarity"].to_numpy(float), 6), float("inf"))
     judged = sample.df.select("y", score(sample.df, lexicon, "t").alias("s")).toPandas()
-    for table in (sample, known, counts, found, weights):
+    for table in (sample, known, counts, found, one, weights):
         table.drop()
     return Lexicon(lexicon.word, lexicon.polarity, best_cut(judged["s"].to_numpy(float), judged["y"].to_numpy()))
 
