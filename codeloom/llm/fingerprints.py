@@ -5,7 +5,7 @@ space as one space and none at the ends. Its 128-bit xxHash groups documents; th
 shuffle moves 16 bytes a document. Digests that occur once need no more. For the
 others the canonical texts are grouped by digest and text, which compares
 bytes inside equal buckets and combines copies before the shuffle. A Bloom filter of the
-repeated digests keeps nearly all other texts out of it. The filter has BITS bits for a
+repeated texts, by a hash of the text as it is, keeps nearly all others out of it before they are made canonical again. The filter has BITS bits for a
 digest and MOST_BITS at most; beyond that more texts pass it and are found to be
 single, so its size is bounded and the result exact at any scale. Only if a digest has
 two different texts are its documents joined back by text.
@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from .store import Table
 
 BITS, MOST_BITS, PROBES = 12, 1 << 27, 4
-_DIGEST = "doc_id long, d1 long, d2 long, chars long"
+_DIGEST = "doc_id long, raw long, d1 long, d2 long, chars long"
 _TEXT = "doc_id long, d1 long, d2 long, text string"
 
 
 def canonical(text: str | None) -> str:
     if not text:
         return ""
+    if text.isascii():
+        return " ".join(text.lower().split())
     return " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold()).split())
 
 
@@ -46,22 +48,22 @@ def _made(batch: pa.RecordBatch, digest: Callable[[str], bytes]) -> tuple[list[s
 
 
 def digests(docs: DataFrame, digest: Callable[[str], bytes] = wide) -> DataFrame:
-    """``(doc_id, d1, d2, chars)`` of every row; chars is the length of the canonical text."""
+    """``(doc_id, raw, d1, d2, chars)`` of every row; raw is a hash of the text as it is, chars the length of the canonical text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, made = _made(batch, digest)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made[:, 0]), pa.array(made[:, 1]), pa.array([len(x) for x in texts], pa.int64())], [c.split()[0] for c in _DIGEST.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("raw"), pa.array(made[:, 0]), pa.array(made[:, 1]), pa.array([len(x) for x in texts], pa.int64())], [c.split()[0] for c in _DIGEST.split(", ")])
 
     return _narrow(docs).mapInArrow(run, _DIGEST)
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t")).where("id is not null")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t"), F.xxhash64("text").alias("raw")).where("id is not null")
 
 
 def bloom(repeated: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
-    """The filter's 64-bit words; their number is a power of two."""
+    """The 64-bit words of a filter of pairs (d1, d2); their number is a power of two."""
     n = repeated.count()
     bits = 64
     while bits < min(n * BITS, most_bits):
@@ -89,9 +91,10 @@ def _texts(docs: DataFrame, words: np.ndarray, digest: Callable[[str], bytes]) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            raw = batch.column("raw").to_numpy()
+            batch = batch.take(pa.array(np.flatnonzero(may_hold(shared.value, np.stack([raw, raw >> 27], axis=1)))))
             texts, made = _made(batch, digest)
-            take = np.flatnonzero(may_hold(shared.value, made))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(take)), pa.array(made[take, 0]), pa.array(made[take, 1]), pa.array([texts[k] for k in take], pa.string())], [c.split()[0] for c in _TEXT.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made[:, 0]), pa.array(made[:, 1]), pa.array(texts, pa.string())], [c.split()[0] for c in _TEXT.split(", ")])
 
     return _narrow(docs).mapInArrow(run, _TEXT)
 
@@ -105,7 +108,7 @@ def exact_groups(docs: DataFrame, digest: Callable[[str], bytes] = wide) -> Data
     """
     made = Table(digests(docs, digest), "digests")
     repeated = Table(made.df.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2"), "repeated")
-    words = bloom(repeated.df)
+    words = bloom(made.df.join(repeated.df, ["d1", "d2"], "left_semi").select(F.col("raw").alias("d1"), F.shiftright("raw", 27).alias("d2")).distinct())
     repeated.drop()
     texts = _texts(docs, words, digest)
     classes = Table(texts.groupBy("d1", "d2", "text").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size")), "classes")

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +41,8 @@ NAMES = (
 _ID = {name: k for k, name in enumerate(NAMES)}
 #: Tags that only label content; they count as unknown ones.
 _CONTENT = (b"article", b"main")
-_TAG = re.compile(rb"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>|<[!?][^>]*>", re.DOTALL | re.IGNORECASE)
+#: Nothing in it goes back over what it has read, and it is only applied up to a page's last ">", so a page takes linear time.
+_TAG = re.compile(rb"<!--.*?(?:(-->)|\Z)|<(script|style)\b[^>]*+>.*?(?:(</\2\s*+>)|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*+)[^>]*+>|<[!?][^>]*+>", re.DOTALL | re.IGNORECASE)
 _INLINE = frozenset((b"a", b"abbr", b"b", b"bdi", b"bdo", b"big", b"cite", b"code", b"dfn", b"em", b"font", b"i", b"ins", b"kbd", b"label", b"mark", b"q", b"s", b"samp", b"small", b"span", b"strong", b"sub", b"sup", b"time", b"u", b"var", b"wbr"))
 _PAGE = "page_id long, content string, n_words long, start_byte long, end_byte long"
 
@@ -59,19 +61,26 @@ class Tokens:
 
 def tokens(page: bytes, first_words: np.ndarray) -> Tokens:
     """first_words: sorted places of the first byte of every word of the page's bytes, markup included."""
-    tag, start, end, inside, depth, opened = [0], [0], [0], [False], 0, 0
-    for m in _TAG.finditer(page):
-        name = (m[3] or m[1] or b"").lower()
+    tag, start, end, inside, depth, opened = array("H", [0]), array("q", [0]), array("q", [0]), array("B", [0]), 0, 0
+    last = page.rfind(b">") + 1
+    for m in _TAG.finditer(page, 0, last):
+        name = (m[5] or m[2] or b"").lower()
         if name in _CONTENT:
-            depth = max(0, depth + (-1 if m[2] else 1))
-            opened += not m[2]
+            depth = max(0, depth + (-1 if m[4] else 1))
+            opened += not m[4]
         tag.append(_ID.get(name, 0))
         start.append(m.start())
         end.append(m.end())
         inside.append(depth > 0)
+        if m.end() == last and not (m[1] or m[3]) and (m[2] or page.startswith(b"<!--", m.start())):
+            end[-1] = len(page)  # what a comment, script or style without an end holds
+    open_ = page.find(b"<!--", max(last, end[-1]))
+    if open_ >= 0:
+        for column, value in ((tag, 0), (start, open_), (end, len(page)), (inside, depth > 0)):
+            column.append(value)
     after = np.append(start[1:], len(page))
     counts = np.searchsorted(first_words, after) - np.searchsorted(first_words, end)
-    return Tokens(np.array(tag), np.array(start), np.array(end), counts, np.array(inside), opened == 1)
+    return Tokens(np.array(tag, np.int64), np.array(start), np.array(end), counts, np.array(inside, bool), opened == 1)
 
 
 @dataclass(frozen=True)

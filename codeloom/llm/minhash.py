@@ -7,7 +7,8 @@ band, exactly a long. Texts with the same whole signature are one vertex.
 Vertices sharing a band are compared by signature inside their bucket: all
 with the least vertex first, then each that failed with all the rest, so no
 linked pair is missed and a bucket of copies costs one comparison a row.
-Buckets that hold the same vertices are handled once; one of more than
+Buckets are counted with map-side combination, and only the members of those with two vertices or
+more are joined back, which splits hot ones. Buckets that hold the same vertices are handled once; one of more than
 ``block`` vertices is split into pairs of blocks that together cover all its
 pairs. Components of the verified pairs are the groups.
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import Table
+from .store import Table, unused
 from .text import chunks, mix64, plain, shingles, words
 
 SHINGLE, BANDS, ROWS, THRESHOLD, BLOCK = 3, 40, 4, 0.5, 4096
@@ -146,14 +147,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     narrow = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").alias("t")).where("node is not null")
     signed = Table(_sign(narrow, shingle, bands, rows), "signatures")
     vertices = Table(signed.df.groupBy("digest").agg(F.min("node").alias("node"), F.count_distinct("node").alias("n"), F.first("sig").alias("sig")), "vertices")
-    banded = vertices.df.select("node", F.posexplode("sig").alias("band", "key")).distinct()
-    bucket = Window.partitionBy("band", "key")
-    members = banded.select(
-        "node",
-        F.count(F.lit(1)).over(bucket).alias("n"),
-        F.bit_xor(F.xxhash64("node")).over(bucket).alias("f1"),
-        F.bit_xor(F.xxhash64("node", F.lit(7))).over(bucket).alias("f2"),
-    ).where("n > 1")
+    banded = vertices.df.select("node", F.xxhash64("digest").alias("d"), F.posexplode("sig").alias("band", "key")).select("node", "d", F.xxhash64("band", "key").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("d").alias("f1"), F.bit_xor(F.xxhash64("d", F.lit(7))).alias("f2")).where("n > 1")
+    members = banded.select("bucket", "node").join(shared, "bucket")
     units = _units(members.dropDuplicates(["f1", "f2", "node"]), block)
     ready = units.join(vertices.df.select("node", "sig"), "node").repartition("f1", "f2", "unit").sortWithinPartitions("f1", "f2", "unit", "node")
     copies = signed.df.select(F.col("node").alias("v"), "digest").join(vertices.df.where("n > 1").select("digest", F.col("node").alias("u")), "digest").select("u", "v")
@@ -173,12 +169,14 @@ def keep_one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     doc_id stay.
     """
     marks = near_duplicates(docs, **parameters)
-    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")).where("doc_id is not null and __rows > 1")
-    again = Table(repeated.select(F.col("doc_id").alias("__again")), "repeated").df
-    gone = Table(marks.where("not keep").select(F.col("doc_id").alias("__gone")), "gone").df
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
-    once = kept.join(again, kept["doc_id"] == again["__again"], "left_anti")
-    twice = kept.join(again, kept["doc_id"] == again["__again"], "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    first = twice.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
-    return once.unionByName(first)
+    again, gone, nth, mine = (unused(docs, c) for c in ("again", "gone", "nth", "mine"))
+    ids = docs.select(F.col("doc_id").cast("long").alias(mine)).where(F.col(mine).isNotNull())
+    repeated = ids.groupBy(mine).agg(F.count(F.lit(1)).alias(nth)).where(F.col(nth) > 1)
+    twice_ids = Table(repeated.select(F.col(mine).alias(again)), "repeated").df
+    gone_ids = Table(marks.where("not keep").select(F.col("doc_id").alias(gone)), "gone").df
+    kept = docs.join(gone_ids, docs["doc_id"].cast("long") == gone_ids[gone], "left_anti")
+    once = kept.join(twice_ids, kept["doc_id"].cast("long") == twice_ids[again], "left_anti")
+    twice = kept.join(twice_ids, kept["doc_id"].cast("long") == twice_ids[again], "left_semi")
+    order = Window.partitionBy(F.col("doc_id").cast("long")).orderBy("text")
+    first = twice.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
+    return once.union(first)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import LABELLED, labelled_texts
+from .store import Table, unused
 from .text import buffers, chunks, mix64, plain, words
 
 PAIRS, PENALTY, BOUND = 100_000, 1e-2, 32.0
@@ -173,15 +174,14 @@ def scored(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFra
     strengths are 0 and every text with words is kept. Only doc_id and text are read.
     """
     model = train(docs, labels, limit)
-    score = strength(model)
-    least = threshold(docs.select(score("text").alias("s")), model.share)
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score("text").alias("strength"))
-    return narrow.withColumn("keep", F.col("strength") >= max(least, -BOUND + 0.001))
+    made = Table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), strength(model)("text").alias("strength")), "strengths").df
+    least = threshold(made.select(F.col("strength").alias("s")), model.share)
+    return made.withColumn("keep", F.col("strength") >= max(least, -BOUND + 0.001))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFrame:
-    """The rows that ``scored`` keeps, with all their columns."""
-    model = train(docs, labels, limit)
-    score = strength(model)
-    least = threshold(docs.select(score("text").alias("s")), model.share)
-    return docs.where(score("text") >= max(least, -BOUND + 0.001))
+    """The rows that ``scored`` keeps, with all their columns. They are written with their strength, so that texts are read for it once."""
+    model, name = train(docs, labels, limit), unused(docs, "strength")
+    made = Table(docs.withColumn(name, strength(model)("text")), "strengths").df
+    least = threshold(made.select(F.col(name).alias("s")), model.share)
+    return made.where(F.col(name) >= max(least, -BOUND + 0.001)).drop(name)

@@ -56,6 +56,14 @@ def _clear() -> None:
             return
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 class Table:
     """A DataFrame written to the shared folder; ``drop`` removes the files once nothing reads them."""
 

@@ -1,6 +1,6 @@
 """Web captures: WARC files, and a two-level index for looking them up.
 
-``write_warc`` stores every page as one WARC response record, a gzip member of its own. The index sorts
+``write_warc`` stores every page as one WARC response record, a gzip member of its own, after a warcinfo record. The index sorts
 the captures by URL key (host labels reversed, then path and query) into shards,
 one file each. A shard is a run of blocks, about BLOCK captures compressed together,
 then its directory: the first key, offset and length of every block. The
@@ -14,11 +14,14 @@ finished tasks are referred to, so a lost executor or a repeated task does no ha
 
 from __future__ import annotations
 
+import base64
 import bisect
 import gzip
+import hashlib
 import json
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -50,18 +53,34 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def record(url: str, page_id: int, payload: bytes) -> bytes:
-    """One WARC/1.1 response record as a gzip member."""
-    digest = xxhash.xxh3_128_hexdigest(payload)
-    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{page_id}>\r\nWARC-Target-URI: {' '.join(url.split())}\r\nWARC-Payload-Digest: xxh3:{digest}\r\nContent-Type: text/html\r\nContent-Length: {len(payload)}\r\n\r\n"
-    return gzip.compress(head.encode("utf-8", "surrogatepass") + payload + b"\r\n\r\n", compresslevel=1, mtime=0)
+def _member(fields: dict[str, str], block: bytes) -> bytes:
+    head = "".join(f"{k}: {v}\r\n" for k, v in (fields | {"Content-Length": len(block)}).items())
+    return gzip.compress(b"WARC/1.1\r\n" + head.encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n", compresslevel=1, mtime=0)
+
+
+def _identity(file: str, offset: int) -> str:
+    """A record's id; files have names of their own, so no two records share one."""
+    return f"<urn:uuid:{uuid.UUID(bytes=xxhash.xxh3_128_digest(f'{file}:{offset}'), version=4)}>"
+
+
+def info_record(file: str, date: str) -> bytes:
+    """The warcinfo record that opens a file."""
+    fields = {"WARC-Type": "warcinfo", "WARC-Record-ID": _identity(file, 0), "WARC-Date": date, "WARC-Filename": file, "Content-Type": "application/warc-fields"}
+    return _member(fields, b"software: codeloom\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record(url: str, file: str, offset: int, date: str, payload: bytes) -> bytes:
+    """One WARC/1.1 response record, with the HTTP head it needs, as a gzip member."""
+    digest = base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
+    fields = {"WARC-Type": "response", "WARC-Record-ID": _identity(file, offset), "WARC-Date": date, "WARC-Target-URI": "".join(url.split()) or "about:blank", "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http; msgtype=response"}
+    return _member(fields, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload)
 
 
 def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields and payload of a gzip member."""
+    """Header fields and payload of a response record's gzip member."""
     head, _, rest = gzip.decompress(member).partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    return fields, rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
 def write_warc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -70,7 +89,7 @@ def write_warc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = _filesystem(folder)
         system.create_dir(path, recursive=True)
-        out, name, at = None, "", 0
+        out, name, at, date = None, "", 0, datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
         try:
             for batch in batches:
                 rows = []
@@ -80,7 +99,10 @@ def write_warc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> D
                             out.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = system.open_output_stream(f"{path}/{name}", compression=None)
-                    member = record(url.as_py(), page.as_py(), (text.as_py() or "").encode("utf-8", "surrogatepass"))
+                        head = info_record(name, date)
+                        out.write(head)
+                        at = len(head)
+                    member = record(url.as_py(), name, at, date, (text.as_py() or "").encode("utf-8", "surrogatepass"))
                     out.write(member)
                     rows.append((page.as_py(), key.as_py(), url.as_py(), name, at, len(member)))
                     at += len(member)
