@@ -33,7 +33,7 @@ from .text import buffers, chunks, plain
 
 DEPTH, DIVERGES = 6, 12.0
 #: Rows of the tree in one part, rows that a task keeps loaded, and bytes of text that it handles at a time.
-PART, HELD, BLOCK = 4_000_000, 8_000_000, 2 << 20
+PART, HELD, BLOCK = 4_000_000, 8_000_000, 1 << 20
 _START = 257  # stands before a document; byte b is b + 1, and 0 is no symbol
 _BITS = 9
 _BYTE = (1 << _BITS) - 1
@@ -74,8 +74,8 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
-def gram_counts(docs: DataFrame, depth: int = DEPTH, held: int = 1 << 22) -> DataFrame:
-    """``(key, n)`` over all texts; each task combines its own counts before the shuffle."""
+def gram_counts(docs: DataFrame, depth: int = DEPTH, held: int = 1 << 21) -> DataFrame:
+    """``(key, n)`` over all texts; each task combines its own counts, up to ``held`` keys at a time, before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, waiting = np.empty(0, np.int64), np.empty(0, np.int64), []
@@ -88,7 +88,7 @@ def gram_counts(docs: DataFrame, depth: int = DEPTH, held: int = 1 << 22) -> Dat
             for part in chunks(batch, "t"):
                 for _, own in blocks(*buffers(plain(part.column("t"))), depth):
                     waiting.append(own)
-                    if sum(map(len, waiting)) > held:
+                    if sum(map(len, waiting)) >= BLOCK:
                         keys, counts = merge()
                         waiting = []
                         if len(keys) > held:
@@ -267,8 +267,10 @@ class _Parts:
             system, path = pafs.FileSystem.from_uri(self.tree.path if ":" in self.tree.path else f"file://{self.tree.path}")
             rows = pq.read_table(f"{path}/part={k}", columns=["key", "bits"], filesystem=system, partitioning=None)
             keys, bits = (rows.column(c).to_numpy() for c in ("key", "bits"))
-            order = np.argsort(keys, kind="stable")
-            self.loaded[k] = keys[order], bits[order]
+            if (keys[1:] < keys[:-1]).any():
+                order = np.argsort(keys, kind="stable")
+                keys, bits = keys[order], bits[order]
+            self.loaded[k] = keys, bits
         return self.loaded[k]
 
 
