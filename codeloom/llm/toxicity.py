@@ -465,10 +465,10 @@ def choose_seeds(sample: DataFrame, known: DataFrame) -> tuple[Seeds, Seeds]:
     return Seeds(word[good], toxic[good] / toxic[good].sum()), Seeds(calm["word"].to_numpy(np.int64), weight / weight.sum())
 
 
-def _walk(edges: DataFrame, weights: DataFrame, toxic: Seeds, calm: Seeds, steps: int, restart: float) -> DataFrame:
+def _walk(edges: DataFrame, toxic: Seeds, calm: Seeds, steps: int, restart: float) -> DataFrame:
     """``(word, p, q)``: visiting probabilities of walks that restart from the toxic (p) and the calm (q) seeds.
 
-    ``edges`` (src, dst, w) has both directions and ``weights`` (word, all) the sum of w from each vertex. All steps
+    ``edges`` (src, dst, w) has both directions; the w from a vertex sum to 1. All steps
     read one shuffle of the edges; what moves in a step is a row a vertex.
     """
     spark = edges.sparkSession
@@ -477,8 +477,7 @@ def _walk(edges: DataFrame, weights: DataFrame, toxic: Seeds, calm: Seeds, steps
     start = spark.createDataFrame(rows, "word long, p double, q double")
     now = start.select("word", F.col("p") / restart, F.col("q") / restart).toDF("word", "p", "q")
     for _ in range(steps):
-        out = now.join(weights, "word").select(F.col("word").alias("src"), *((F.col(c) * (1 - restart) / F.col("all")).alias(c) for c in "pq"))
-        moved = edges.join(out.hint("shuffle_hash"), "src").select(F.col("dst").alias("word"), (F.col("p") * F.col("w")).alias("p"), (F.col("q") * F.col("w")).alias("q"))
+        moved = edges.join(now.withColumnRenamed("word", "src").hint("shuffle_hash"), "src").select(F.col("dst").alias("word"), *((F.col(c) * F.col("w") * (1 - restart)).alias(c) for c in "pq"))
         now = moved.union(start).groupBy("word").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     return now
 
@@ -561,15 +560,18 @@ def induce(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, steps: int
     )
     one = Table(found.df.where("w is not null").select("a", "b", "w").union(weighed), "word-edges")
     both = one.df.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"), "w").select("e.src", "e.dst", "w")
-    weights = Table(both.groupBy(F.col("src").alias("word")).agg(F.sum("w").alias("all")), "out-weights")
-    visited = _walk(both.repartition("src"), weights.df, toxic, calm, steps, RESTART).join(counts.df, "word")
+    found.drop()
+    weights = Table(both.groupBy("src").agg(F.sum("w").alias("all")), "out-weights")
+    edges = Table(both.join(weights.df, "src").select("src", "dst", (F.col("w") / F.col("all")).cast("float").alias("w")), "walk-edges")
+    one.drop()
+    visited = _walk(edges.df.repartition("src"), toxic, calm, steps, RESTART).join(counts.df, "word")
     polar = visited.select("word", ((F.col("p") - F.col("q")) / (F.col("p") + F.col("q") + F.col("n") * (LIFT / total))).alias("polarity"))
     made = polar.where(F.col("polarity") >= POLAR).toPandas().sort_values("word")
     against = known.df.where("clean > toxic").select("word").toPandas()["word"]
     made = made[~made["word"].isin(against)]
     lexicon = Lexicon(made["word"].to_numpy(np.int64), np.round(made["polarity"].to_numpy(float), 6), float("inf"))
     judged = sample.df.select("y", score(sample.df, lexicon, "t").alias("s")).toPandas()
-    for table in (sample, known, counts, found, one, weights):
+    for table in (sample, known, counts, weights, edges):
         table.drop()
     return Lexicon(lexicon.word, lexicon.polarity, best_cut(judged["s"].to_numpy(float), judged["y"].to_numpy()))
 
