@@ -53,11 +53,14 @@ def redacted(text: Column) -> Column:
     return F.when(F.octet_length(text) <= 8, F.repeat(F.lit("*"), F.length(text))).otherwise(F.concat(F.substring(text, 1, 4), F.lit("..."), F.right(text, F.lit(4))))
 
 
-def suppressed_codes(text: Column) -> Column:
-    """What a line's comment suppresses: null for nothing, an empty array for everything, else upper-case ids."""
+def suppressed_codes(text: Column, word: str = "codeloom") -> Column:
+    """What a line's comment suppresses: null for nothing, an empty array for everything, else upper-case ids.
+
+    Everything: ``# pragma: no`` with exactly the given word, a bare ``# noqa`` or ``# ignore``, or the code CSP.
+    """
     codes = F.transform(F.split(F.upper(F.regexp_extract(text, _SUPPRESS, 1)), r"\s*,\s*"), lambda x: F.trim(x))
     every = (F.regexp_extract(text, _SUPPRESS, 1) == "") | F.array_contains(codes, "CSP")
-    return F.when(text.rlike(r"(?i)#\s*pragma:\s*no\s+(?!cover\b)[a-z]+"), F.array().cast("array<string>")).when(text.rlike(_SUPPRESS), F.when(every, F.array().cast("array<string>")).otherwise(codes))
+    return F.when(text.rlike(rf"(?i)#\s*pragma:\s*no\s+{word}\b"), F.array().cast("array<string>")).when(text.rlike(_SUPPRESS), F.when(every, F.array().cast("array<string>")).otherwise(codes))
 
 
 def without_suppressed(findings: DataFrame, all_lines: DataFrame, key: str) -> DataFrame:

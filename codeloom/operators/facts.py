@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import json
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -16,9 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("error", "call", "function", "class", "import", "def", "ref", "edge", "finding")
+from ..functions.columns import TEST_PATH
+from .scopes import scoped_findings
+
+_TEST = re.compile(TEST_PATH)
+KINDS = ("error", "call", "function", "class", "import", "def", "ref", "edge", "assign", "docstring", "finding")
 SCHEMA = "path string, kind string, name string, scope string, line int, end_line int, loop_depth int, args string, kwargs map<string,string>, metrics map<string,double>, rule_id string, severity string, message string"
 _NAMES = [x.strip().split(" ")[0] for x in SCHEMA.replace("map<string,string>", "m").replace("map<string,double>", "d").split(",")]
+_LOGGER = re.compile(r"^(logging|logger|log)[.](debug|info|warning|error|critical|exception)$")
+_SENSITIVE = re.compile(r"(?i)password|passwd|secret|token|api_key")
 _FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
 _NESTS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith, ast.Match)
 
@@ -163,6 +170,13 @@ class _Walk:
 
     def module(self, tree: ast.Module, name: str) -> None:
         self.block(tree.body, name, 0, 0, False)
+        if "docstring" in self.kinds:
+            for n in ast.walk(tree):
+                if isinstance(n, (ast.Module, ast.ClassDef, *_FUNCTION)) and n.body and isinstance(n.body[0], ast.Expr) and isinstance(n.body[0].value, ast.Constant) and isinstance(n.body[0].value.value, str):
+                    self.put("docstring", None, name, n.body[0])
+        if "finding" in self.kinds:
+            for rule, severity, message, node in scoped_findings(tree, bool(_TEST.search(self.path))):
+                self.flag(rule, severity, message, name, node)
         if "ref" in self.kinds:
             for n in ast.walk(tree):
                 if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load):
@@ -190,18 +204,18 @@ class _Walk:
                     self.flag("L001", "MEDIUM", "Mutable default argument", own, d)
             for d in n.decorator_list:
                 if (dotted(d) or "").split(".")[-1] == "csrf_exempt":
-                    self.flag("D903", "HIGH", "View is exempt from CSRF protection", own, n)
+                    self.flag("D903", "HIGH", "View is exempt from CSRF protection", own, d)
             self.block(n.body, own, nest, 0, False)
             return
         if isinstance(n, ast.ClassDef):
             own = f"{scope}.{n.name}"
             self.put("def", own, scope, n, args="class")
             if "class" in self.kinds:
-                self.put("class", own, scope, n, metrics={"lcom4": float(lcom4(n)), "cc": float(cyclomatic(n.body))})
+                self.put("class", own, scope, n, args=" ".join(filter(None, map(dotted, [*n.bases, *(d.func if isinstance(d, ast.Call) else d for d in n.decorator_list)]))), metrics={"lcom4": float(lcom4(n)), "cc": float(cyclomatic(n.body))})
             self.block(n.body, own, nest, loop, True)
             return
         if isinstance(n, (ast.Import, ast.ImportFrom)):
-            base = f"{'.' * n.level}{n.module}." if isinstance(n, ast.ImportFrom) and n.module else ""
+            base = "." * n.level + (f"{n.module}." if n.module else "") if isinstance(n, ast.ImportFrom) else ""
             for alias in n.names:
                 local = alias.asname or alias.name.split(".")[0]
                 self.put("import", base + alias.name, scope, n, args=local)
@@ -209,6 +223,10 @@ class _Walk:
             return
         if isinstance(n, (ast.Assign, ast.AnnAssign)):
             for t in n.targets if isinstance(n, ast.Assign) else [n.target]:
+                if "assign" in self.kinds and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str):
+                    named = t.id if isinstance(t, ast.Name) else t.attr if isinstance(t, ast.Attribute) else t.slice.value if isinstance(t, ast.Subscript) and isinstance(t.slice, ast.Constant) else None
+                    if isinstance(named, str):
+                        self.put("assign", named, scope, n, message=n.value.value)
                 if isinstance(t, ast.Name):
                     self.put("def", f"{scope}.{t.id}", scope, n, args="variable")
                     if t.id == "SECRET_KEY" and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str):
@@ -249,6 +267,10 @@ class _Walk:
             kinds = "".join("L" if literal(x) else "D" for x in n.args)
             named = {k.arg: json.dumps(k.value.value) if isinstance(k.value, ast.Constant) and isinstance(k.value.value, (str, int, float, bool, type(None))) else dotted(k.value) or "?" for k in n.keywords if k.arg}
             first = n.args[0].value if n.args and isinstance(n.args[0], ast.Constant) and isinstance(n.args[0].value, str) else None
+            if name and name.endswith(".bind") and n.args and isinstance(n.args[0], ast.Tuple) and n.args[0].elts and isinstance(n.args[0].elts[0], ast.Constant) and n.args[0].elts[0].value in ("0.0.0.0", "::"):
+                self.flag("D404", "MEDIUM", "Binds to all interfaces", scope, n)
+            if name and _LOGGER.match(name) and any(_SENSITIVE.search(x) for a in [*n.args, *(k.value for k in n.keywords)] for y in ast.walk(a) for x in (getattr(y, "id", None), getattr(y, "attr", None), getattr(y, "value", None)) if isinstance(x, str)):
+                self.flag("D901", "MEDIUM", "Log call with sensitive names", scope, n)
             self.put("call", name, scope, n, args=kinds, kwargs=named, loop_depth=loop, message=first)
             if name:
                 self.put("edge", name, scope, n)

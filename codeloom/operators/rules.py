@@ -59,7 +59,7 @@ def danger_rules() -> list[tuple[str, str, str, Column]]:
         ("D005", "HIGH", "Use of input", _is("input")),
         ("D006", "HIGH", "Change of privileges", _like(r"(^|[.])set(uid|gid|euid|egid|reuid|regid|resuid|resgid|groups)$")),
         ("D101", "CRITICAL", "SQL built from dynamic text", _like(r"[.](execute|executemany)$") & _dynamic()),
-        ("D102", "CRITICAL", "Raw SQL from dynamic text", _like(r"(^|[.])(raw|text|read_sql|read_sql_query|read_sql_table|prepare_query|executescript)$") & _dynamic()),
+        ("D102", "CRITICAL", "Raw SQL from dynamic text", _like(r"(^|[.])(raw|text|read_sql|read_sql_query|read_sql_table|prepare_query|executescript)$") & _dynamic() | _like(r"[.](substitute|safe_substitute)$") & (_dynamic() | (F.size("kwargs") > 0))),
         ("D103", "HIGH", "Markup from dynamic text", _like(r"(^|[.])(Markup|render_template_string|HTMLResponse)$") & (_dynamic() | _kw_dynamic("content", "source", "html"))),
         ("D104", "MEDIUM", "XML parser open to entity attacks", _like(r"(^|[.])(ElementTree|etree|minidom|sax|pulldom|expatbuilder)[.](parse|fromstring|parseString|iterparse|XMLParser|make_parser)$") & ~_like("^lxml") & ~_kw_is("resolve_entities", "false")),
         ("D104", "HIGH", "XML parser open to entity attacks", _like(r"^lxml[.].*(parse|fromstring|XMLParser)$") & ~_kw_is("resolve_entities", "false")),
@@ -95,7 +95,6 @@ def danger_rules() -> list[tuple[str, str, str, Column]]:
         ("D504", "HIGH", "mktemp races", _like(r"(^|[.])mktemp$")),
         ("D506", "MEDIUM", "tempnam races", _is("os.tempnam", "os.tmpnam")),
         ("D703", "HIGH", "Autoescape is off", _like(r"(^|[.])Environment$") & _kw_is("autoescape", "false")),
-        ("D901", "MEDIUM", "Log call with sensitive names", _like(r"^(logging|logger|log)[.](debug|info|warning|error|critical|exception)$") & text.rlike("password|passwd|secret|token|api_key")),
         ("D904", "MEDIUM", "Log message from dynamic text", _like(r"^(logging|logger|log)[.](debug|info|warning|error|critical|exception)$") & _dynamic()),
         ("P002", "MEDIUM", "Reads a whole file into memory", _like(r"[.](read|readlines)$") & (_args() == "")),
         ("P005", "MEDIUM", "Compiled in a loop", (F.col("loop_depth") > 0) & (_is("re.compile") & (F.substring(_args(), 1, 1) == "L") | _is("ast.parse"))),
@@ -104,8 +103,8 @@ def danger_rules() -> list[tuple[str, str, str, Column]]:
 
 
 _IMPORTS = {
-    "HIGH": ("telnetlib", "ftplib", "pyghmi", "Crypto"),
-    "LOW": ("xmlrpc", "wsgiref", "pickle", "cPickle", "dill", "shelve", "subprocess", "xml.etree", "xml.sax", "xml.dom", "lxml"),
+    "HIGH": ("telnetlib", "ftplib", "pyghmi", "Crypto", "xmlrpc", "twisted.web.twcgi", "wsgiref.handlers.CGIHandler"),
+    "LOW": ( "pickle", "cPickle", "dill", "shelve", "subprocess", "xml.etree", "xml.sax", "xml.dom", "lxml"),
 }
 
 
@@ -118,8 +117,22 @@ def danger_findings(table: DataFrame) -> DataFrame:
         pattern = "^(" + "|".join(m.replace(".", "[.]") for m in modules) + ")([.]|$)"
         risky = F.coalesce(F.when(F.col("name").rlike(pattern), severity), risky)
     imports = table.where("kind = 'import'").withColumn("severity", risky).where("severity is not null").select("path", "line", F.lit("D702").alias("rule_id"), "severity", F.lit("Import of a risky module").alias("message"))
-    stated = table.where("kind = 'finding'").select("path", "line", "rule_id", "severity", "message")
-    return calls.unionByName(imports).unionByName(stated)
+    bindings = table.where("kind = 'import'").where(F.col("name").rlike(r"^nacl[.]bindings([.]|$)")).select("path", "line", F.lit("D306").alias("rule_id"), F.lit("HIGH").alias("severity"), F.lit("Low-level cryptographic binding").alias("message"))
+    return _category(calls.unionByName(imports).unionByName(bindings).unionByName(_stated(table)), "danger")
+
+
+def _stated(table: DataFrame) -> DataFrame:
+    return table.where("kind = 'finding'").select("path", "line", "rule_id", "severity", "message")
+
+
+def _category(findings: DataFrame, name: str) -> DataFrame:
+    return routed(findings).where(F.col("category") == name).drop("category")
+
+
+def performance_calls(table: DataFrame) -> DataFrame:
+    """Findings of the P rules that are predicates over calls."""
+    tests = [F.when(p, F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"), F.lit(m).alias("message"))) for i, s, m, p in danger_rules() if i[0] == "P"]
+    return table.where("kind = 'call' and name is not null").select("path", "line", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("f")).select("path", "line", "f.*")
 
 
 def quality_findings(table: DataFrame, n_args: int = 5, length: int = 50, mccabe: int = 10, cognitive: int = 15, cohesion: int = 6) -> DataFrame:
@@ -129,13 +142,18 @@ def quality_findings(table: DataFrame, n_args: int = 5, length: int = 50, mccabe
     rules = [
         ("Q301", F.when(complexity > 25, "CRITICAL").when(complexity > 15, "HIGH").otherwise("MEDIUM"), "McCabe complexity", complexity > mccabe),
         ("Q304", F.when(m("cognitive") > 25, "CRITICAL").otherwise("HIGH"), "Cognitive complexity", m("cognitive") > cognitive),
-        ("Q305", F.lit("HIGH"), "Lack of cohesion", m("lcom4") > cohesion),
+        ("Q305", F.lit("HIGH"), "Lack of cohesion", (m("lcom4") > cohesion) & ~F.coalesce(F.col("args").rlike(r"(^|[ .])(dataclass|attrs|attr[.]s|define|frozen|Protocol|TypedDict|NamedTuple|Struct|BaseModel)( |$)"), F.lit(False))),
         ("C303", F.lit("LOW"), "Too many arguments", m("n_args") > n_args),
         ("C304", F.lit("LOW"), "Function is too long", m("length") > length),
     ]
     tests = [F.when(p, F.struct(F.lit(i).alias("rule_id"), s.alias("severity"), F.lit(t).alias("message"))) for i, s, t, p in rules]
     own = table.where("kind in ('function', 'class')").select("path", "line", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("f")).select("path", "line", "f.*")
-    return own.unionByName(table.where("kind = 'finding'").select("path", "line", "rule_id", "severity", "message"))
+    return _category(own.unionByName(_stated(table)).unionByName(performance_calls(table)), "quality")
+
+
+def maintainability_findings(file_metrics: DataFrame, least: float) -> DataFrame:
+    """Q303: files whose MI is below ``least``; file_metrics is ``(path, mi, ...)``."""
+    return file_metrics.where(F.col("mi") < least).select("path", F.lit(1).alias("line"), F.lit("Q303").alias("rule_id"), F.lit("HIGH").alias("severity"), F.lit("Maintainability index is too low").alias("message"))
 
 
 def routed(findings: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ single narrow stage. Only the per-line dedupe shuffles, and only findings.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import byte_entropy, is_test_path, lines, redacted, suppressed_codes
@@ -36,14 +38,19 @@ PATTERNS = (
     ("S121", "Anthropic API Key", "CRITICAL", 97, r"sk-ant-api[0-9]{2}-[A-Za-z0-9_\-]{93}"),
     ("S122", "JWT Secret", "CRITICAL", 92, r"""(?i)(jwt[_-]?secret|jwt[_-]?key|jwt[_-]?signing[_-]?key)\s*=\s*['"][^'"]{8,}['"]"""),
 )
-ENV_ACCESS = r"os\.environ|os\.getenv|environ\.get|getenv\("
-PLACEHOLDER = r"(?i)xxx|your_|changeme|placeholder|example|<[a-z_]+>"
-PATH_OR_URL = r"https?://|(^|[\s'\x22])/[a-z]+/[a-z]+/"
+ENV_ACCESS = r"(?i)os\.environ|os\.getenv|environ\.get|environ\["
+PLACEHOLDER = r"""(?i)["'](xxx|your_|changeme|replace_)|["']example|<your_|\$\{|\{\{"""
+PATH_OR_URL = r"""https?://|ftp://|"/|"\./|"~/|['"]\\"""
 MIN_SCORE, ENTROPY, MIN_LENGTH = 50, 4.5, 16
 
 
+#: What a match of any pattern contains in lower case, so that most lines are dropped by one test.
+ANCHORS = r"(?i)aws_|aiza|heroku|gh[pous]_|glpat-|xox[bp]-|sk_(live|test)_|sg\.|sk[a-f0-9]{32}|[mn][a-z\d]{23,}\.|api_?key|secret|token|private key|npm_|pypi-|://|sk-ant-|jwt"
+
+
 def pattern_hits(all_lines: DataFrame, key: str) -> DataFrame:
     """``(key, line, text, rule_id, name, severity, base, ord)``: one row for each pattern that a line matches."""
+    all_lines = all_lines.where(F.col("text").rlike(ANCHORS))
     tests = [F.when(F.col("text").rlike(rx), F.struct(F.lit(i).alias("rule_id"), F.lit(n).alias("name"), F.lit(s).alias("severity"), F.lit(b).alias("base"), F.lit(k).alias("ord"))) for k, (i, n, s, b, rx) in enumerate(PATTERNS)]
     found = F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull()))
     flag = [c for c in all_lines.columns if c == "test"]
@@ -63,9 +70,9 @@ def entropy_hits(all_lines: DataFrame, key: str, least: float = ENTROPY, length:
     return scored.select(key, "line", "text", *flag, F.lit("S200").alias("rule_id"), F.lit("High entropy string").alias("name"), F.lit("MEDIUM").alias("severity"), F.lit(60).alias("base"), F.lit(len(PATTERNS)).alias("ord"), redacted(F.col("value")).alias("matched_value"), "entropy")
 
 
-def context_score(base: Column, text: Column, test: Column | None = None) -> Column:
-    """Base less 50 in tests, 10 in comments, 30 for placeholders, 100 for suppression, environment access, paths or URLs; 0 to 100."""
-    score = base - F.when(text.rlike(r"^\s*#"), 10).otherwise(0) - F.when(text.rlike(PLACEHOLDER), 30).otherwise(0)
+def context_score(base: Column, text: Column, test: Column | None = None, docstring: Column | None = None) -> Column:
+    """Base less 50 in tests, 10 in comments and docstrings each, 30 for placeholders, 100 for suppression, environment access, paths or URLs; 0 to 100."""
+    score = base - (F.when(docstring, 10).otherwise(0) if docstring is not None else F.lit(0)) - F.when(text.rlike(r"^\s*#"), 10).otherwise(0) - F.when(text.rlike(PLACEHOLDER), 30).otherwise(0)
     for bad in (suppressed_codes(text).isNotNull(), text.rlike(ENV_ACCESS), text.rlike(PATH_OR_URL)):
         score = score - F.when(bad, 100).otherwise(0)
     if test is not None:
@@ -73,16 +80,77 @@ def context_score(base: Column, text: Column, test: Column | None = None) -> Col
     return F.least(F.lit(100), F.greatest(F.lit(0), score))
 
 
-def secret_findings(files: DataFrame, key: str, text: str, path: str | None = None, entropy: bool = True, least: int = MIN_SCORE) -> DataFrame:
+def custom_hits(all_lines: DataFrame, key: str, custom: tuple[tuple[str, str, str], ...]) -> DataFrame:
+    """Hits of user patterns ``(name, regex, severity)``: base 75, id CSP-CUSTOM-<name>. Use ``valid_patterns`` first."""
+    tests = [F.when(F.col("text").rlike(rx), F.struct(F.lit(f"CSP-CUSTOM-{n}").alias("rule_id"), F.lit(n).alias("name"), F.lit(s).alias("severity"), F.lit(75).alias("base"), F.lit(len(PATTERNS) + 2 + k).alias("ord"))) for k, (n, rx, s) in enumerate(custom)]
+    flag = [c for c in all_lines.columns if c == "test"]
+    return all_lines.select(key, "line", "text", *flag, F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("hit")).select(key, "line", "text", *flag, "hit.*")
+
+
+def valid_patterns(spark: SparkSession, custom: tuple[tuple[str, str, str], ...]) -> tuple[tuple[tuple[str, str, str], ...], list[tuple[str, str]]]:
+    """The patterns that compile, and ``(CSP-CONFIG-ERROR, message)`` for each that doesn't."""
+    good, bad = [], []
+    for n, rx, s in custom:
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(rx)
+            good.append((n, rx, s))
+        except Exception:
+            bad.append(("CSP-CONFIG-ERROR", f"pattern {n} isn't a regular expression: {rx}"))
+    return tuple(good), bad
+
+
+_SUSPICIOUS = r"(?i)password|passwd|secret|credential|api_key|apikey|private_key|access_token|auth_token|bearer|signing_key|encryption_key|master_key"
+_BOUNDED = r"(^|[^a-zA-Z0-9])(?i:key|pwd|auth|token)([^a-zA-Z0-9]|$|(?=[A-Z]))|[a-z0-9](Key|Pwd|Auth|Token)([^a-z0-9]|$)"
+_SAFE = r"(?i)keyboard|keyword|monkey|donkey|tracking_id|uuid|public|example|sample|(_regex|_pattern|_re|_fmt|_format)$|^test_|_test$|jwt.*token|token.*jwt"
+_NO_VALUE = r"(?i)^(xxx|your_|changeme|replace_|example|<)|\$\{|\{\{|^(none|null|)$"
+
+
+def suspicious_assignments(assigned: DataFrame, names: tuple[str, ...] = ()) -> DataFrame:
+    """S300: string literals assigned to names that sound like secrets. assigned: ``(path, line, name, value)``; names: more substrings."""
+    more = F.lit(False)
+    for n in names:
+        more = more | F.contains(F.lower("name"), F.lit(n.lower()))
+    named = F.col("name").rlike(_SUSPICIOUS) | F.col("name").rlike(_BOUNDED) | more
+    return assigned.where(named & ~F.col("name").rlike(_SAFE) & ~F.col("value").rlike(_NO_VALUE))
+
+
+def suspicious_hits(assigned: DataFrame, all_lines: DataFrame, key: str, names: tuple[str, ...] = ()) -> DataFrame:
+    """``suspicious_assignments`` as hits beside those of the patterns: base 70, MEDIUM."""
+    found = suspicious_assignments(assigned, names).select(F.col("path").alias(key), "line", redacted(F.col("value")).alias("matched_value"), F.concat(F.lit("Suspicious assignment to "), "name").alias("name"))
+    flag = [c for c in all_lines.columns if c == "test"]
+    joined = found.join(all_lines, [key, "line"])
+    return joined.select(key, "line", "text", *flag, F.lit("S300").alias("rule_id"), "name", F.lit("MEDIUM").alias("severity"), F.lit(70).alias("base"), F.lit(len(PATTERNS) - 1).alias("ord"), "matched_value", F.lit(None).cast("double").alias("entropy"))
+
+
+ENTROPY_BONUS, KEYWORD_BONUS = 15, 20
+
+
+def with_bonus(score: Column, entropy: Column, keyword: Column) -> Column:
+    """A score with the bonuses for high entropy and for a telling keyword; not part of the default score."""
+    return F.least(F.lit(100), score + F.when(entropy >= ENTROPY, ENTROPY_BONUS).otherwise(0) + F.when(keyword, KEYWORD_BONUS).otherwise(0))
+
+
+#: Recognizers by name: functions of (lines, key) that give hits.
+RECOGNIZERS: dict[str, Callable[[DataFrame, str], DataFrame]] = {"patterns": pattern_hits}
+
+
+def secret_findings(files: DataFrame, key: str, text: str, path: str | None = None, entropy: bool = True, least: int = MIN_SCORE, custom: tuple[tuple[str, str, str], ...] = (), assigned: DataFrame | None = None, docstrings: DataFrame | None = None) -> DataFrame:
     """``(key, line, rule_id, severity, message, matched_value, entropy, confidence)``: the best finding of a line that scores ``least`` or more.
 
-    Of equal scores the earlier recognizer wins. Null texts have no findings.
+    Of equal scores the earlier recognizer wins. Null texts have no findings. ``assigned`` (path, line, name, value) adds S300 and ``docstrings``
+    (path, line) the penalty of lines inside docstrings; both come from a parse. ``custom`` are user patterns.
     """
     each = lines(files.where(F.col(key).isNotNull()), key, text, is_test_path(F.col(path)) if path else None)
     hits = pattern_hits(each, key).withColumns({"matched_value": F.lit(None).cast("string"), "entropy": F.lit(None).cast("double")})
     if entropy:
         hits = hits.unionByName(entropy_hits(each, key))
-    confidence = context_score(F.col("base"), F.col("text"), F.col("test") if path else None)
+    if assigned is not None:
+        hits = hits.unionByName(suspicious_hits(assigned, each, key))
+    if custom:
+        hits = hits.unionByName(custom_hits(each, key, custom), allowMissingColumns=True)
+    if docstrings is not None:
+        hits = hits.join(docstrings.select(F.col("path").alias(key), "line").distinct().withColumn("doc", F.lit(True)), [key, "line"], "left")
+    confidence = context_score(F.col("base"), F.col("text"), F.col("test") if path else None, F.coalesce(F.col("doc"), F.lit(False)) if docstrings is not None else None)
     best = Window.partitionBy(key, "line").orderBy(F.desc("confidence"), "ord", "matched_value")
     kept = hits.withColumn("confidence", confidence).where(F.col("confidence") >= least).withColumn("nth", F.row_number().over(best)).where("nth = 1")
     return kept.select(key, "line", "rule_id", "severity", F.concat(F.lit("Possible secret: "), F.col("name")).alias("message"), "matched_value", "entropy", "confidence")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import byte_entropy, lines, module_name, severity_rank, suppressed_codes, without_suppressed
 from ..operators import clones, facts, graph, metrics, rules, secrets, taint
 from ..sources import reports
+from . import corpus
 from . import generated as g
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -218,6 +219,23 @@ def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.withColumn("severity_rank", severity_rank(F.col("severity")).cast("int"))
 
 
+@_query(corpus.expected_sql([(k, *f) for k, (_, found) in enumerate(corpus.SNIPPETS) for f in found], "rule_id, severity", "rule_id, severity", len(corpus.SNIPPETS)))
+def rule_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every danger, quality and performance rule over sources whose findings are known."""
+    table = facts.facts(corpus.snippet_sources(spark, sf_dir, [t for t, _ in corpus.SNIPPETS]), "call", "import", "function", "class", "finding")
+    found = rules.danger_findings(table).unionByName(rules.quality_findings(table))
+    return found.select("path", F.col("line").cast("long").alias("line"), "rule_id", "severity")
+
+
+@_query(corpus.expected_sql([(k, 1, *found) for k, (_, found) in enumerate(corpus.SECRETS) if found], "rule_id, severity, confidence", "rule_id, severity, CAST(confidence AS BIGINT) AS confidence", len(corpus.SECRETS)))
+def secret_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret pattern, the suspicious assignments and the entropy recognizer over lines whose best finding is known."""
+    files = corpus.snippet_sources(spark, sf_dir, [t for t, _ in corpus.SECRETS])
+    assigned = facts.facts(files, "assign").select("path", "line", "name", F.col("message").alias("value"))
+    found = secrets.secret_findings(files, "path", "source", path="path", assigned=assigned)
+    return found.select("path", F.col("line").cast("long").alias("line"), "rule_id", "severity", F.col("confidence").cast("long").alias("confidence"))
+
+
 @_query()
 def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = g.sources(spark, sf_dir, g.branches())
