@@ -9,6 +9,7 @@ the operator that wrote them; whatever is left is deleted when the application e
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -77,5 +78,11 @@ class Table:
         delete(self.spark, self.path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of DataFrames that nothing refers to any more, which it otherwise does when the driver happens to collect garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     return Table(df, name).df

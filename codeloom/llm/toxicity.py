@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .fingerprints import bloom, may_hold
 from .labelled import LABELLED, labelled_texts
-from .store import Table
+from .store import Table, release
 from .text import chunks, mix64, plain, words
 
 WINDOW, STEPS, RESTART = 5, 6, 0.2
@@ -46,6 +46,9 @@ STANDS_OUT, POLAR, LIFT = 16.0, 0.5, 10.0
 CODED, DENSE, WAITING, PART = 1 << 16, 1 << 12, 3 << 19, 1 << 20
 
 
+_CODEC = pa.Codec("zstd", compression_level=4)
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, signed, and the index of the first word of every text."""
     w = words(plain(texts))
@@ -105,7 +108,7 @@ def _packed(*columns: np.ndarray) -> bytes:
     """Integer columns, each with its own length, in byte planes that compress well."""
     sizes = np.array([len(columns), *(len(c) for c in columns)], np.int64).tobytes()
     planes = b"".join(np.ascontiguousarray(c.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
-    return sizes + pa.compress(planes, codec="zstd", asbytes=True)
+    return sizes + _CODEC.compress(planes, asbytes=True)
 
 
 def _unpacked(blob: bytes) -> list[np.ndarray]:
@@ -545,12 +548,15 @@ def induce(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, steps: int
         sample.drop()
         known.drop()
         return Lexicon(np.empty(0, np.int64), np.empty(0), float("inf"))
+    release(spark)
     counts = Table(_word_counts(texts), "word-counts")
+    release(spark)
     total = counts.df.agg(F.sum("n")).first()[0]
     often = _most_frequent(counts.df, coded)
     vertices = bloom(counts.df.where(F.col("n") >= LEAST_COUNT).select(F.col("word").alias("d1"), F.shiftright("word", 27).alias("d2")))
     shared = spark.sparkContext.broadcast(_Codes(often["word"].to_numpy(np.int64), often["n"].to_numpy(np.int64), np.sort(toxic.word), total, vertices))
     found = Table(_pairs(texts, shared, buckets=min(max(total >> 19, 64), 1 << 14)), "word-pairs")
+    release(spark)
     of = counts.df.where(F.col("n") >= LEAST_COUNT)
     expected = F.col("a.n").cast("double") * F.col("b.n") * (2.0 * WINDOW / total)
     lift = F.log(F.col("x.n") / expected)
@@ -564,6 +570,7 @@ def induce(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, steps: int
     weights = Table(both.groupBy("src").agg(F.sum("w").alias("all")), "out-weights")
     edges = Table(both.join(weights.df, "src").select("src", "dst", (F.col("w") / F.col("all")).cast("float").alias("w")), "walk-edges")
     one.drop()
+    release(spark)
     visited = _walk(edges.df.repartition("src"), toxic, calm, steps, RESTART).join(counts.df, "word")
     polar = visited.select("word", ((F.col("p") - F.col("q")) / (F.col("p") + F.col("q") + F.col("n") * (LIFT / total))).alias("polarity"))
     made = polar.where(F.col("polarity") >= POLAR).toPandas().sort_values("word")
