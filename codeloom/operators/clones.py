@@ -1,7 +1,8 @@
-"""Clone groups of code fragments: renamed copies by normalised hash, near ones by 3-gram overlap.
+"""Clones of functions and classes by the edit distance of their syntax, candidates by MinHash.
 
-Candidates come from an equi-join on banded MinHash values; pairs keep an edit-distance free similarity, the
-Jaccard index of their normalised 3-grams. Groups are components of the pairs.
+One parse a file gives fragments with their nodes in pre-order, as written and with names numbered by first use, and the MinHash bands of
+their 3-grams; they are written once. Fragments that are equal but for names are each paired with the first of them, and only that
+one is compared with others, so copies make no pairs of pairs. Groups are components of the pairs.
 """
 
 from __future__ import annotations
@@ -9,72 +10,146 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import is_test_path
 from .graph import _cut
 
-FRAGMENT = "path string, name string, start_line int, end_line int, raw_hash long, normal_hash long, grams array<long>"
+#: Fragments of ``least`` to ``most`` lines are compared.
+LEAST, MOST, BANDS, ROWS = 5, 500, 20, 5
+FRAGMENT = "path string, name string, kind string, start_line int, end_line int, raw_hash long, normal_hash long, raw binary, normal binary, bands array<long>, flags array<string>"
+_NAMES = [c.split()[0] for c in FRAGMENT.split(", ")]
+_SCOPES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+_SEEDS = np.random.Generator(np.random.PCG64(83)).integers(1, 2**63, (BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
 
 
-def _kinds(node: ast.AST) -> tuple[list[str], list[str]]:
-    """Pre-order labels: as written, and with names numbered by first use and constants alike."""
-    raw, normal, names = [], [], {}
-    for n in ast.walk(node):
-        kind = type(n).__name__
-        label = getattr(n, "id", None) or getattr(n, "arg", None) or getattr(n, "attr", None)
-        if n is node:
-            label = None
-        raw.append(f"{kind}:{label or repr(getattr(n, 'value', '')) if isinstance(n, ast.Constant) else label}")
-        normal.append(f"{kind}:CONST" if isinstance(n, ast.Constant) else f"{kind}:{names.setdefault(label, len(names))}" if label else kind)
-    return raw, normal
+def _signed(data: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
 
-def fragments(files: DataFrame, least: int = 5, most: int = 500) -> DataFrame:
+def sequences(node: ast.AST) -> tuple[np.ndarray, np.ndarray]:
+    """(kind, label) of all nodes in pre-order, as written and normalised: names by first use, constants alike; the fragment's own name left out."""
+    raw, normal, names = [], [], {}
+    todo = [node]
+    while todo:
+        n = todo.pop()
+        kind = xxhash.xxh32_intdigest(type(n).__name__)
+        label = None if n is node else getattr(n, "id", None) or getattr(n, "arg", None) or getattr(n, "attr", None) or getattr(n, "name", None)
+        if isinstance(n, ast.Constant):
+            raw.append((kind, xxhash.xxh32_intdigest(repr(n.value))))
+            normal.append((kind, 1))
+        elif isinstance(label, str):
+            raw.append((kind, xxhash.xxh32_intdigest(label)))
+            normal.append((kind, 2 + names.setdefault(label, len(names))))
+        else:
+            raw.append((kind, 0))
+            normal.append((kind, 0))
+        todo += reversed(list(ast.iter_child_nodes(n)))
+    return np.array(raw, np.uint32), np.array(normal, np.uint32)
+
+
+def bands(normal: np.ndarray) -> list[int]:
+    """Hashes of the bands of the MinHash of all 3-grams of kinds (single ones of fewer than three)."""
+    k = normal[:, 0].astype(np.uint64)
+    grams = k if len(k) < 3 else (k[:-2] * np.uint64(0x9E3779B97F4A7C15) + k[1:-1]) * np.uint64(0xBF58476D1CE4E5B9) + k[2:]
+    minima = (np.unique(grams)[None, :] * _SEEDS[:, :1] + _SEEDS[:, 1:]).min(axis=1).reshape(BANDS, ROWS)
+    return [_signed(row.tobytes() + bytes([b])) for b, row in enumerate(minima)]
+
+
+def _fragments(path: str, source: str, least: int, most: int) -> Iterator[tuple]:
+    todo = [(n, False) for n in ast.parse(source).body]
+    while todo:
+        n, nested = todo.pop()
+        if not isinstance(n, _SCOPES):
+            continue
+        todo += [(x, True) for x in n.body]
+        if least <= n.end_lineno - n.lineno + 1 <= most:
+            raw, normal = sequences(n)
+            flow = any(isinstance(x, (ast.If, ast.For, ast.While, ast.Try, ast.With, ast.Match)) for x in ast.walk(n))
+            marks = [m for m, on in (("nested", nested), ("docstring", ast.get_docstring(n) is not None), ("decorators", bool(n.decorator_list)), ("flow", flow)) if on]
+            yield path, n.name, "class" if isinstance(n, ast.ClassDef) else "function", n.lineno, n.end_lineno, _signed(raw.tobytes()), _signed(normal.tobytes()), raw.tobytes(), normal.tobytes(), bands(normal), marks
+
+
+def fragments(files: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
     """Functions, methods and classes of ``least`` to ``most`` lines; files that don't parse have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()))
         for batch in batches:
             rows = []
             for path, source in zip(batch.column("path").to_pylist(), batch.column("source").to_pylist(), strict=True):
                 try:
-                    tree = ast.parse(source)
+                    rows += _fragments(path, source, least, most)
                 except (SyntaxError, ValueError, RecursionError):
                     continue
-                for n in ast.walk(tree):
-                    if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and least <= n.end_lineno - n.lineno + 1 <= most:
-                        raw, normal = _kinds(n)
-                        hashed = lambda x: xxhash.xxh3_64_intdigest("\n".join(x).encode()) - (1 << 63)
-                        grams = sorted({hashed(normal[k : k + 3]) for k in range(max(1, len(normal) - 2))})
-                        rows.append((path, n.name, n.lineno, n.end_lineno, hashed(raw), hashed(normal), grams))
-            types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            columns = zip(*rows, strict=True) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in FRAGMENT.split(", ")])
+            columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _NAMES)
 
     return files.select("path", "source").where("path is not null and source is not null").mapInArrow(run, FRAGMENT)
 
 
-def clone_pairs(found: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 5) -> DataFrame:
-    """``(a, b, similarity, clone_type)``, a before b by path and line: T1 as written, T2 but for names, T3 near.
+def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """Of two (kind, label) sequences: 1 for an insertion, a deletion and another label, 2 for another kind. A row at a time."""
+    place = np.arange(len(b) + 1)
+    row = place.copy()
+    for i, (kind, label) in enumerate(a, 1):
+        cost = np.where(b[:, 0] == kind, (b[:, 1] != label).astype(np.int64), 2)
+        best = np.empty(len(b) + 1, np.int64)
+        best[0] = i
+        best[1:] = np.minimum(row[:-1] + cost, row[1:] + 1)
+        row = np.minimum.accumulate(best - place) + place
+    return int(row[-1])
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """1 less the edit distance by the longer length; negative for very different ones, 1 for two empty ones."""
+    if a == b:
+        return 1.0
+    x, y = (np.frombuffer(s, np.uint32).reshape(-1, 2) for s in (a, b))
+    return 1 - edit_distance(x, y) / max(len(x), len(y))
+
+
+def clone_type(raw: Column, normal: Column) -> Column:
+    """T1 as written, T2 but for names, T3 near, from the similarities as written and normalised."""
+    return F.when(normal < 0.95, "T3").when(raw >= 0.9, "T1").otherwise("T2")
+
+
+def clone_type_by_normal(normal: Column) -> Column:
+    """The classes of snippets held in memory, by the normalised similarity alone."""
+    return F.when(normal >= 0.99, "T1").when(normal >= 0.9, "T2").otherwise("T3")
+
 
-    Fragments that are equal but for names are each paired with the first of them, and only that one is compared with
-    others, so many copies make as many pairs and no more.
-    """
-    place = F.struct("path", "start_line", "end_line")
-    base = found.select(place.alias("place"), "raw_hash", "normal_hash", "grams")
-    first = base.groupBy("normal_hash").agg(F.min_by(F.struct("place", "raw_hash", "grams"), "place").alias("f"))
-    equal = base.join(first, "normal_hash").where("place <> f.place")
-    same = equal.select(F.col("f.place").alias("a"), F.col("place").alias("b"), F.lit(1.0).alias("similarity"), F.when(F.col("f.raw_hash") == F.col("raw_hash"), "T1").otherwise("T2").alias("clone_type"))
-    heads = first.select("f.place", "f.grams")
-    minima = F.array(*[F.array_min(F.transform("grams", lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(bands * rows)])
-    banded = heads.withColumn("m", minima).select("place", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("m", b * rows + 1, rows)))).alias("band", "key"))
-    left, right = banded.select(F.col("place").alias("a"), "band", "key"), banded.select(F.col("place").alias("b"), "band", "key")
-    candidates = left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct()
-    sides = candidates.join(heads.toDF("a", "ga"), "a").join(heads.toDF("b", "gb"), "b")
-    similarity = F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb"))
-    return same.unionByName(sides.select("a", "b", similarity.alias("similarity"), F.lit("T3").alias("clone_type")).where(F.col("similarity") >= threshold))
+_PLACE = ("path", "start_line", "end_line")
+_SCORED = "a_path string, a_start int, a_end int, b_path string, b_start int, b_end int, raw double, similarity double"
+
+
+def clone_pairs(found: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``(a, b, similarity, clone_type)``, a before b by path and line, of a normalised similarity of ``threshold`` or more."""
+    table = _cut(found.select(F.struct(*_PLACE).alias("place"), "raw_hash", "normal_hash", "raw", "normal", "bands"))
+    heads = table.groupBy("normal_hash").agg(F.min("place").alias("head"))
+    same = table.select("place", "normal_hash").join(heads, "normal_hash").where("place <> head").select(F.col("head").alias("a"), F.col("place").alias("b"))
+    banded = table.select("place", F.explode("bands").alias("key")).join(heads.select(F.col("head").alias("place")), "place", "left_semi")
+    left, right = banded.select(F.col("place").alias("a"), "key"), banded.select(F.col("place").alias("b"), "key")
+    near = left.join(right, "key").where("a < b").select("a", "b").distinct()
+    codes = table.select("place", "raw", "normal")
+    sides = same.unionByName(near).join(codes.toDF("a", "ra", "na"), "a").join(codes.toDF("b", "rb", "nb"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ra, na, rb, nb = (batch.column(c).to_pylist() for c in ("ra", "na", "rb", "nb"))
+            normal = [similarity(x, y) for x, y in zip(na, nb, strict=True)]
+            raw = [similarity(x, y) if n >= threshold else 0.0 for x, y, n in zip(ra, rb, normal, strict=True)]
+            places = [batch.column(c) for c in ("a_path", "a_start", "a_end", "b_path", "b_start", "b_end")]
+            yield pa.RecordBatch.from_arrays([*places, pa.array(raw, pa.float64()), pa.array(normal, pa.float64())], [c.split()[0] for c in _SCORED.split(", ")])
+
+    flat = sides.select(*(F.col(f"{s}.{c}").alias(f"{s}_{n}") for s in "ab" for c, n in zip(_PLACE, ("path", "start", "end"), strict=True)), "ra", "na", "rb", "nb")
+    scored = flat.mapInArrow(run, _SCORED).where(F.col("similarity") >= threshold)
+    place = lambda s: F.struct(*(F.col(f"{s}_{n}").alias(c) for c, n in zip(_PLACE, ("path", "start", "end"), strict=True)))
+    return scored.select(place("a").alias("a"), place("b").alias("b"), "similarity", clone_type(F.col("raw"), F.col("similarity")).alias("clone_type"))
 
 
 def clone_groups(pairs: DataFrame) -> DataFrame:
@@ -87,3 +162,45 @@ def clone_groups(pairs: DataFrame) -> DataFrame:
         if after.where("moved").isEmpty():
             return after.select(F.col("u").alias("place"), F.col("low").alias("group_place"))
         label = after.select("u", "low")
+
+
+def clone_findings(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Two rows a pair: INFO at the first fragment, WARNING at its duplicate; C100, C200 and C300 for T1, T2 and T3."""
+    names = found.select(F.struct(*_PLACE).alias("place"), F.col("name"))
+    both = pairs.join(names.toDF("a", "a_name"), "a").join(names.toDF("b", "b_name"), "b")
+    kind = F.when(F.col("clone_type") == "T1", "exact").when(F.col("clone_type") == "T2", "renamed").otherwise("near-miss")
+    rule = F.when(F.col("clone_type") == "T1", "C100").when(F.col("clone_type") == "T2", "C200").otherwise("C300")
+
+    def row(at: str, other: str, severity: str, words: str, tail: str) -> Column:
+        text = F.format_string(f"{words} %s at %s:%d (%s clone, %.0f%% {tail})", f"{other}_name", F.substring_index(f"{other}.path", "/", -1), f"{other}.start_line", kind, F.col("similarity") * 100)
+        return F.struct(F.col(f"{at}.path").alias("path"), F.col(f"{at}.start_line").alias("line"), rule.alias("rule_id"), F.lit(severity).alias("severity"), text.alias("message"), F.col("similarity").alias("similarity"))
+
+    rows = F.explode(F.array(row("a", "b", "INFO", "Similar to", "match"), row("b", "a", "WARNING", "Duplicate of", "similar")))
+    return both.select(rows.alias("f")).select("f.*")
+
+
+def fix_confidence(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds ``confidence`` (0 to 100) and ``decision``: autofix from 90, suggest from 60, else suppress."""
+    flags = found.select(F.struct(*_PLACE).alias("b"), "flags")
+    rows = pairs.join(flags, "b", "left")
+    has = lambda x: F.coalesce(F.array_contains("flags", x), F.lit(False))
+    s, near = F.col("similarity"), F.col("a.path") == F.col("b.path")
+    distance = F.abs(F.col("a.start_line") - F.col("b.start_line"))
+    score = F.lit(50) + F.when(s >= 0.99, 30).when(s >= 0.95, 20).when(s >= 0.9, 10).when(s < 0.8, -30).otherwise(0)
+    score = score + F.when(F.col("clone_type") == "T1", 25).when(F.col("clone_type") == "T2", 15).otherwise(-10)
+    score = score + F.when(is_test_path(F.col("b.path")), -20).otherwise(0) + F.when(near, 10).otherwise(0) + F.when(near & (distance <= 2), 15).when(near & (distance >= 10), -20).otherwise(0)
+    for mark, points in (("docstring", 10), ("flow", -40), ("decorators", -20), ("nested", -10)):
+        score = score + F.when(has(mark), points).otherwise(0)
+    bounded = F.least(F.lit(100), F.greatest(F.lit(0), score)).cast("int")
+    return rows.withColumn("confidence", bounded).withColumn("decision", F.when(F.col("confidence") >= 90, "autofix").when(F.col("confidence") >= 60, "suggest").otherwise("suppress")).drop("flags")
+
+
+def same_flow(pairs: DataFrame, prints: DataFrame, least: float = 0.7) -> DataFrame:
+    """Pairs of functions whose control flow is alike; pairs without a fingerprint stay. prints: ``(place, blocks, depth, branches, loops, kinds)`` of ``cfg.fingerprints``."""
+    cols = ("blocks", "depth", "branches", "loops")
+    side = lambda s: prints.select(F.col("place").alias(s), F.struct(*cols, "kinds").alias(f"{s}_print"))
+    rows = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    alike = lambda c: 1 - F.abs(F.col(f"a_print.{c}") - F.col(f"b_print.{c}")) / F.greatest(F.col(f"a_print.{c}"), F.col(f"b_print.{c}"), F.lit(1))
+    shared = F.size(F.array_intersect("a_print.kinds", "b_print.kinds")) / F.greatest(F.size(F.array_union("a_print.kinds", "b_print.kinds")), F.lit(1))
+    score = (sum((alike(c) for c in cols), F.lit(0.0)) + shared) / (len(cols) + 1)
+    return rows.where(F.coalesce(score >= least, F.lit(True))).drop("a_print", "b_print")

@@ -234,10 +234,12 @@ def propagate_imports(table: DataFrame) -> DataFrame:
     return reachable(start, chain).where("depth > 0").select(F.col("node").alias("key"))
 
 
-def with_imports(counts: DataFrame, keys: DataFrame) -> DataFrame:
-    """Reference counts of which the given keys have one at least."""
-    both = counts.join(keys.select("key", F.lit(1).alias("one")).distinct(), "key", "full_outer")
-    return both.select("key", *(F.greatest(F.coalesce(c, F.lit(0)), F.coalesce("one", F.lit(0))).cast("long").alias(c) for c in ("every", "production")))
+def with_imports(counts: DataFrame, every: DataFrame, production: DataFrame) -> DataFrame:
+    """Reference counts of which the given keys have one at least, from all files and from those outside of tests."""
+    both = counts
+    for name, keys in (("e", every), ("p", production)):
+        both = both.join(keys.select("key", F.lit(1).alias(name)).distinct(), "key", "full_outer")
+    return both.select("key", *(F.greatest(F.coalesce(c, F.lit(0)), F.coalesce(k, F.lit(0))).cast("long").alias(c) for c, k in (("every", "e"), ("production", "p"))))
 
 
 def resolved(defs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -313,7 +315,7 @@ def roots(table: DataFrame, defs: DataFrame, include_tests: bool = False) -> Dat
 
 def confidence(include_tests: bool = False) -> Column:
     """100 less the penalties of a definition, in order; 0 to 100."""
-    less = lambda c, n, when: F.when(when, F.greatest(c - n, F.lit(0))).otherwise(c)
+    less = lambda c, n, when: F.greatest(c - F.when(when, n).otherwise(0), F.lit(0))  # noqa: E731  (c once, or the expression doubles with every step)
     name, simple, kind = F.col("full_name"), F.col("simple"), F.col("def_type")
     method = kind == "method"
     c = F.when(F.col("framework"), 40).otherwise(100)
@@ -346,6 +348,7 @@ def unused(table: DataFrame, threshold: int = 60, include_tests: bool = False) -
     Dead is what nothing references and either can't be reached from the roots (functions, methods and classes of a confidence above 0) or
     has a confidence of ``threshold``. Methods of a dead class are dead with it, but for visitor and hook names.
     """
+    table = _cut(table)
     table = _cut(table.union(expand_stars(table)))
     enums = definitions(table)
     classes = enums.where("enum and def_type = 'class'").select(F.col("full_name").alias("parent"), F.lit(True).alias("enum_member"))
@@ -354,7 +357,8 @@ def unused(table: DataFrame, threshold: int = 60, include_tests: bool = False) -
     whole = scopes.select(F.col("prefix").alias("module"), F.lit(True).alias("dynamic_module"))
     inner = defs.select("full_name", F.explode(prefixes(F.col("parent"))).alias("prefix")).join(scopes, "prefix").select("full_name", F.lit(True).alias("dynamic_parent")).distinct()
     defs = defs.join(whole, "module", "left").join(inner, "full_name", "left").na.fill(False, ["dynamic_module", "dynamic_parent"])
-    counted = resolved(defs, with_imports(reference_counts(table), propagate_imports(table)))
+    defs = _cut(defs)
+    counted = _cut(resolved(defs, _cut(with_imports(reference_counts(table), propagate_imports(table), propagate_imports(table.where(~is_test_path(F.col("path"))))))))
     reached = reachable(roots(table, defs, include_tests), call_graph(table, defs)).select(F.col("node").alias("full_name"), F.lit(True).alias("reached"))
     callable_ = F.col("def_type").isin("function", "method", "class")
     known = counted.join(reached, "full_name", "left").withColumn("unreachable", callable_ & F.col("reached").isNull()).withColumn("confidence", confidence(include_tests))

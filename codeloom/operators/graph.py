@@ -2,24 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder; a local session without one gets a folder of its own."""
-    spark = df.sparkSession
+_own: dict[str, str] = {}
+_left: dict[str, SparkSession] = {}
+
+
+def _folder(spark: SparkSession) -> str:
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that every executor can reach")
-            import tempfile
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that every executor can reach")
+    if context.applicationId not in _own:
+        path = tempfile.mkdtemp(prefix="codeloom-tables-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _own[context.applicationId] = f"file://{path}"
+    return _own[context.applicationId]
+
+
+def _delete_left() -> None:
+    for path, spark in list(_left.items()):
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the JVM has gone
+            return
+
 
-            folder = tempfile.mkdtemp(prefix="codeloom-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+def _cut(df: DataFrame) -> DataFrame:
+    """The DataFrame as a table in the cluster's shared folder, deleted when the application ends; a local session without one has a folder of its own."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/codeloom-{uuid.uuid4().hex[:16]}"
+    if not _left:
+        atexit.register(_delete_left)
+    _left[path] = spark
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -27,15 +54,16 @@ def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
 
     A frontier loop: each round joins only the nodes found in the last one and drops those seen. Null ends are ignored.
     """
-    pairs = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    pairs = _cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
     seen = _cut(roots.where("node is not null").select("node").distinct().withColumn("depth", F.lit(0)))
     frontier, depth = seen, 0
-    while not frontier.isEmpty():
+    while True:
         depth += 1
         step = frontier.join(pairs, frontier["node"] == pairs["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = _cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        seen = _cut(seen.unionByName(frontier))
-    return seen
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
 
 
 _IMPLICIT = r"[.](test_[^.]*|visit_[^.]*|leave_[^.]*|on_[^.]*|main|run|execute|__[^.]*__)$"

@@ -1,6 +1,6 @@
-"""Source-to-sink data flow inside functions.
+"""Source-to-sink data flow inside functions and through what they return.
 
-Every function is interpreted on its own: sources taint names, assignments and expressions carry the taint, sanitizers
+Every function is interpreted: sources taint names, assignments and expressions carry the taint, sanitizers
 stop it, and a tainted dangerous argument of a sink is a finding. The interpretation needs the syntax tree and runs in
 Arrow batches; scores and dedupe are columns.
 """
@@ -37,8 +37,10 @@ FLOW = "path string, function string, source string, source_line int, sink strin
 
 
 class _Flow:
-    def __init__(self, path: str, name: str) -> None:
-        self.path, self.name, self.rows = path, name, []
+    """One function. ``summaries``: source of what functions return, by the name they are called by."""
+
+    def __init__(self, path: str, name: str, summaries: dict[str, str] | None = None) -> None:
+        self.path, self.name, self.rows, self.summaries, self.returned = path, name, [], summaries or {}, None
 
     def taint(self, n: ast.AST | None, state: dict) -> tuple[str, int, int] | None:
         """(source, line, hops) of an expression; the first found wins."""
@@ -55,6 +57,8 @@ class _Flow:
                 return None
             if SOURCES.match(called):
                 return called, n.lineno, 0
+            if called in self.summaries:
+                return self.summaries[called], n.lineno, 1
             parts = [*n.args, *(k.value for k in n.keywords), *([n.func.value] if isinstance(n.func, ast.Attribute) else [])]
         elif isinstance(n, ast.IfExp):
             parts = [n.body, n.orelse]
@@ -82,6 +86,9 @@ class _Flow:
             for x in ast.iter_child_nodes(n):
                 if isinstance(x, ast.expr):
                     self.sinks(x, state)
+            if isinstance(n, ast.Return) and n.value is not None and self.returned is None:
+                found = self.taint(n.value, state)
+                self.returned = found[0] if found and not found[0].startswith("function param") else None
             if isinstance(n, (ast.Assign, ast.AnnAssign, ast.AugAssign)):
                 found = self.taint(n.value, state)
                 if found:
@@ -102,31 +109,110 @@ class _Flow:
         return state
 
 
-def file_flows(path: str, source: str) -> list[tuple]:
-    """Flows of a file's functions and of its module level; none if it doesn't parse."""
+_WEB = re.compile(r"(^|[.])(Query|Path|Body|Form|Header|Cookie)$")
+
+
+def _parameters(f: ast.FunctionDef | ast.AsyncFunctionDef) -> dict[str, tuple[str, int, int]]:
+    a = f.args
+    own = {x.arg: (f"function param: {x.arg}", f.lineno, 0) for x in [*a.posonlyargs, *a.args, *a.kwonlyargs] if x.arg not in ("self", "cls")}
+    for x, d in [*zip([*a.posonlyargs, *a.args][len(a.posonlyargs) + len(a.args) - len(a.defaults) :], a.defaults, strict=True), *zip(a.kwonlyargs, a.kw_defaults, strict=True)]:
+        if isinstance(d, ast.Call) and _WEB.search(dotted(d.func) or ""):
+            own[x.arg] = (f"request param: {x.arg}", f.lineno, 0)
+    return own
+
+
+def _imports(tree: ast.Module) -> dict[str, str]:
+    """Local name of every imported one and what it stands for."""
+    out = {}
+    for n in ast.walk(tree):
+        if isinstance(n, ast.ImportFrom) and n.module and not n.level:
+            out |= {a.asname or a.name: f"{n.module}.{a.name}" for a in n.names}
+        elif isinstance(n, ast.Import):
+            out |= {a.asname or a.name: a.name for a in n.names}
+    return out
+
+
+def _module(path: str) -> str:
+    return path.removesuffix(".py").strip("/").replace("/", ".").removesuffix(".__init__")
+
+
+def file_flows(path: str, source: str, known: dict[str, str] | None = None) -> tuple[list[tuple], dict[str, str]]:
+    """Flows of a file's functions and module level, and the sources that its functions return by full name; nothing if it doesn't parse.
+
+    known: returned sources by full name of functions anywhere. Functions of the file are summed up until nothing changes,
+    so a source goes through any chain of returns.
+    """
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError):
-        return []
+        return [], {}
+    functions = [n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
+    names, module = _imports(tree), _module(path)
+    summaries = {}
+    for local, full in names.items():
+        for target, origin in (known or {}).items():
+            if target == full or target.startswith(f"{full}."):
+                summaries[local + target[len(full) :]] = origin
+    returned: dict[str, str] = {}
+    while True:
+        before = len(returned)
+        for n in functions:
+            flow = _Flow(path, n.name, summaries | returned)
+            flow.run(n.body, _parameters(n))
+            if flow.returned:
+                returned.setdefault(n.name, flow.returned)
+        if len(returned) == before:
+            break
     rows = []
-    module = _Flow(path, "<module>")
-    module.run(tree.body, {})
-    rows += module.rows
-    for n in ast.walk(tree):
-        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            flow = _Flow(path, n.name)
-            flow.run(n.body, {a.arg: (f"function param: {a.arg}", n.lineno, 0) for a in [*n.args.posonlyargs, *n.args.args, *n.args.kwonlyargs] if a.arg not in ("self", "cls")})
-            rows += flow.rows
-    return rows
+    top = _Flow(path, "<module>", summaries | returned)
+    top.run(tree.body, {})
+    rows += top.rows
+    for n in functions:
+        flow = _Flow(path, n.name, summaries | returned)
+        flow.run(n.body, _parameters(n))
+        rows += flow.rows
+    return rows, {f"{module}.{k}": v for k, v in returned.items()}
+
+
+def returned_sources(files: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
+    """``(name, source)`` of functions that return what a source gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for p, s in zip(batch.column("path").to_pylist(), batch.column("source").to_pylist(), strict=True) for r in file_flows(p, s, known)[1].items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["name", "source"])
+
+    return files.select("path", "source").where("path is not null and source is not null").mapInArrow(run, "name string, source string").distinct()
+
+
+#: Returned sources that are broadcast; a project with more is analysed without crossing files.
+MOST_SUMMARIES = 1_000_000
+
+
+def cross_file_summaries(files: DataFrame, rounds: int = 20) -> dict[str, str]:
+    """Returned sources by full name, through imports of other files, until nothing new is found.
+
+    ValueError if there are more than MOST_SUMMARIES of them, which bounds what is sent to every task.
+    """
+    known: dict[str, str] = {}
+    for _ in range(rounds):
+        rows = returned_sources(files, known).orderBy("name", "source").limit(MOST_SUMMARIES + 1).collect()
+        if len(rows) > MOST_SUMMARIES:
+            raise ValueError(f"more than {MOST_SUMMARIES} functions return sources; analyse the project in parts")
+        now = {r.name: r.source for r in reversed(rows)}
+        if now.keys() == known.keys():
+            return known
+        known = now
+    return known
 
 
-def taint_findings(files: DataFrame) -> DataFrame:
-    """Flows with an exploitability of 0 to 100, one for each path, sink line and source line."""
+def taint_findings(files: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
+    """Flows with an exploitability of 0 to 100, one for each path, sink line and source line. known: ``cross_file_summaries``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int32() if x.endswith(" int") else pa.string() for x in FLOW.split(", ")]
         for batch in batches:
-            rows = [r for p, s in zip(batch.column("path").to_pylist(), batch.column("source").to_pylist(), strict=True) for r in file_flows(p, s)]
+            rows = [r for p, s in zip(batch.column("path").to_pylist(), batch.column("source").to_pylist(), strict=True) for r in file_flows(p, s, known)[0]]
             columns = zip(*rows, strict=True) if rows else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in FLOW.split(", ")])
 

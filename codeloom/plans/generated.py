@@ -62,3 +62,60 @@ def copies() -> Column:
 
 def flows() -> Column:
     return F.when(F.col("k") % 4 == 0, F.lit("import os\nx = input()\ny = x\nos.system(y)\n")).when(F.col("k") % 4 == 1, F.lit("import os, shlex\nx = input()\nos.system(shlex.quote(x))\n")).otherwise(F.lit("x = 1\n"))
+
+
+def text(pattern: str) -> Column:
+    """The pattern with {k} as the part's number, {p} half of it and {q} a third (rounded down)."""
+    out = F.lit(pattern)
+    for name, value in (("{k}", F.col("k")), ("{p}", F.floor(F.col("k") / 2)), ("{q}", F.floor(F.col("k") / 3))):
+        out = F.replace(out, F.lit(name), value.cast("string"))
+    return out
+
+
+MODULE = """import m{p}
+def f_{k}():
+    return m{p}.f_{p}()
+class C_{k}:
+    def go_{k}(self):
+        return 1
+    def idle_{k}(self):
+        return 2
+class D_{k}:
+    def shared_{k}(self):
+        return 3
+thing.shared_{k}
+"""
+
+
+def project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A module a part that calls that of half its number; every tenth is used at its own top level, and every seventh by a test alone."""
+    part = _parts(spark, sf_dir)
+    used = F.when(F.col("k") % 10 == 3, text("f_{k}()\nC_{k}().go_{k}()\n")).otherwise("")
+    modules = part.select(text("m{k}.py").alias("path"), F.concat(text(MODULE), used).alias("source"))
+    tests = part.where("k % 7 = 0").select(text("tests/test_m{k}.py").alias("path"), text("from m{k} import f_{k}\ndef test_{k}():\n    f_{k}()\n").alias("source"))
+    return modules.union(tests)
+
+
+def documented() -> Column:
+    return F.concat(text('def f_{k}():\n    """One\n    # two\n\n    three"""\n'), F.repeat(F.lit("    # note\n"), F.col("n")), F.lit("    x = 1  # after\n"))
+
+
+def halted() -> Column:
+    return F.concat(F.lit("def f(a):\n    x = 1\n    x = 2\n    return x\n"), F.repeat(F.lit("    y = 3\n"), F.col("n")))
+
+
+def crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files a part: one returns input through two functions, the other runs it, or a constant instead."""
+    part = _parts(spark, sf_dir)
+    give = F.when(F.col("k") % 3 == 0, text("def inner():\n    return input()\ndef get():\n    value = inner()\n    return value\n")).otherwise(text("def get():\n    return 'a'\n"))
+    run = text("import os\nfrom a{k} import get\ndef go():\n    os.system(get())\n")
+    return part.select(text("a{k}.py").alias("path"), give.alias("source")).union(part.select(text("b{k}.py").alias("path"), run.alias("source")))
+
+
+def fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder a part with a conftest below one for all: the nearer definition wins, and even parts define the fixture in the test file itself."""
+    part = _parts(spark, sf_dir)
+    one = "import pytest\n@pytest.fixture\ndef fx():\n    return 1\n"
+    near = part.where("k % 3 = 0").select(text("t/d{k}/conftest.py").alias("path"), F.lit(one).alias("source"))
+    test = part.select(text("t/d{k}/test_a.py").alias("path"), F.concat(F.when(F.col("k") % 2 == 0, F.lit(one)).otherwise(""), F.lit("def test_x(fx):\n    pass\n")).alias("source"))
+    return near.union(test).union(spark.createDataFrame([("t/conftest.py", one)], "path string, source string"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import byte_entropy, lines, module_name, severity_rank, suppressed_codes, without_suppressed
-from ..operators import clones, facts, graph, metrics, rules, secrets, taint
+from ..operators import cfg, clones, deadcode, facts, filters, fix, fixtures, graph, metrics, rules, secrets, summary, taint
 from ..sources import reports
 from . import corpus
 from . import generated as g
@@ -236,15 +236,100 @@ def secret_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", F.col("line").cast("long").alias("line"), "rule_id", "severity", F.col("confidence").cast("long").alias("confidence"))
 
 
-@_query()
+_MI = "171 - 5.2 * ln((2 * n + 4) * log2(CASE WHEN n > 0 THEN 4 ELSE 3 END)) - 0.23 * (n + 1) - 16.2 * ln(n + 2)"
+
+
+@_query(f"""WITH {_P}, g AS (SELECT max(n) + 1 AS worst, avg(least(100, greatest(0, {_MI}))) AS mi FROM p)
+SELECT 'unused_percent' AS gate, CAST(100 AS DOUBLE) AS actual, CAST(5 AS DOUBLE) AS threshold, false AS passed FROM g
+UNION ALL SELECT 'max_complexity', CAST(worst AS DOUBLE), 10.0, worst <= 10 FROM g UNION ALL SELECT 'min_mi', round(mi, 6), 40.0, mi >= 40 FROM g""")
 def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = g.sources(spark, sf_dir, g.branches())
     functions = facts.functions(facts.facts(files, "function"))
-    raw = metrics.raw_metrics(files, "path", "source")
     named = facts.facts(files, "def", "ref")
-    return metrics.quality_gates(metrics.file_metrics(raw, functions), graph.unused_definitions(named), named.where("kind = 'def'"))
+    gates = metrics.quality_gates(metrics.file_metrics(metrics.source_metrics(files), functions), graph.unused_definitions(named), named.where("kind = 'def'"))
+    return gates.withColumn("actual", F.round("actual", 6))
 
 
-@_query()
+@_query(f"""WITH {_P} SELECT '{{"ruleId":"D001","level":"error","message":{{"text":"Use of eval"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || path ||
+'"}},"region":{{"startLine":2}}}}}}],"partialFingerprints":{{"primaryLocationLineHash":"' || md5(path || ':2:D001') || '"}}}}' AS value FROM p WHERE k % 7 = 0""")
 def sarif_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.rendered(rules.danger_findings(facts.facts(g.sources(spark, sf_dir, g.evals()), "call", "import", "finding")), "sarif")
+
+
+@_query("""WITH RECURSIVE p AS (SELECT CAST(p_partkey AS BIGINT) AS k FROM part), r(k) AS (SELECT k FROM p WHERE k % 10 = 3 UNION SELECT r.k // 2 FROM r JOIN p ON p.k = r.k // 2),
+d AS (SELECT k, 'f_' AS name, 'function' AS def_type, 2 AS line, k NOT IN (SELECT k FROM r) AS unreachable FROM p WHERE k % 10 <> 3 AND 2 * k NOT IN (SELECT k FROM p) AND 2 * k + 1 NOT IN (SELECT k FROM p)
+UNION ALL SELECT k, 'C_', 'class', 4, true FROM p WHERE k % 10 <> 3 UNION ALL SELECT k, 'C_' || k || '.go_', 'method', 5, true FROM p WHERE k % 10 <> 3
+UNION ALL SELECT k, 'C_' || k || '.idle_', 'method', 7, true FROM p UNION ALL SELECT k, 'D_', 'class', 9, true FROM p UNION ALL SELECT k, 'D_' || k || '.shared_', 'method', 10, true FROM p)
+SELECT 'm' || k || '.' || name || k AS full_name, def_type, CAST(line AS BIGINT) AS line, unreachable, 'definitely_unused' AS category FROM d""")
+def dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions that nothing references or reaches, references of tests aside, and the methods of dead classes."""
+    found = deadcode.unused(deadcode.symbols(g.project(spark, sf_dir)))
+    return found.select("full_name", "def_type", F.col("line").cast("long").alias("line"), "unreachable", "category")
+
+
+@_query("""WITH RECURSIVE p AS (SELECT CAST(p_partkey AS BIGINT) AS k FROM part), r(k, depth) AS (SELECT k, 1 FROM p WHERE k % 10 = 3 UNION ALL SELECT r.k // 2, depth + 1 FROM r JOIN p ON p.k = r.k // 2)
+SELECT 'm' || k || '.f_' || k AS node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY k""")
+def reachable_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions that the call graph of a project reaches from its modules, and in how many calls."""
+    table = graph._cut(deadcode.symbols(g.project(spark, sf_dir)).where("path not like 'tests/%'"))
+    defs = deadcode.definitions(table)
+    reached = graph.reachable(deadcode.roots(table, defs), deadcode.call_graph(table, defs))
+    return reached.where("node like '%.f\\_%'").select("node", F.col("depth").cast("long").alias("depth"))
+
+
+@_query(f"WITH {_P} SELECT path, 7 + n AS loc, 5 AS sloc, n AS comments, n + 1 AS single_comments, 3 AS multi, 2 AS blank FROM p")
+def source_line_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.source_metrics(g.sources(spark, sf_dir, g.documented()))
+
+
+@_query(f"WITH {_P} SELECT path, 'unreachable' AS what, '' AS name, 5 AS line FROM p WHERE n > 0 UNION ALL SELECT path, 'dead store', 'x', 2 FROM p UNION ALL SELECT path, 'dead store', 'a', 1 FROM p")
+def control_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unreachable blocks and values that no use sees."""
+    flow = cfg.flows(g.sources(spark, sf_dir, g.halted()))
+    gone = cfg.unreachable_code(flow).select("path", F.lit("unreachable").alias("what"), F.lit("").alias("name"), "line")
+    return gone.union(cfg.dead_stores(flow).select("path", F.lit("dead store"), "name", "line"))
+
+
+@_query(f"WITH {_P} SELECT 'b' || k || '.py' AS path, 'os.system' AS sink, 4 AS sink_line, 'input' AS source, 'D003' AS rule_id FROM p WHERE k % 3 = 0")
+def cross_file_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Input that comes through two functions of another file."""
+    files = g.crossing(spark, sf_dir)
+    return taint.taint_findings(files, taint.cross_file_summaries(files)).select("path", "sink", "sink_line", "source", "rule_id")
+
+
+@_query("""WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS k FROM part) SELECT 't/d' || k || '/test_a.py' AS path,
+CASE WHEN k % 2 = 0 THEN 't/d' || k || '/test_a.py' WHEN k % 3 = 0 THEN 't/d' || k || '/conftest.py' ELSE 't/conftest.py' END AS fixture_path, CASE WHEN k % 2 = 0 THEN 0 ELSE 1 END AS rank FROM p""")
+def fixture_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.resolved(fixtures.fixture_facts(g.fixtures(spark, sf_dir))).select("path", "fixture_path", "rank")
+
+
+@_query(f"WITH {_P} SELECT path, 'D001' AS rule_id FROM p WHERE k % 7 = 0 AND NOT starts_with(path, 'm1') AND NOT regexp_matches(path, '^m2[0-9][.]py$')")
+def ignored_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.danger_findings(facts.facts(g.sources(spark, sf_dir, g.evals()), "call", "import", "finding"))
+    return filters.without_ignored(found, {"m1*.py": ("D001",), "m2[0-9].py": ("ALL",), "*.py": ("D002",)}).select("path", "rule_id")
+
+
+@_query(f"WITH {_P} SELECT 'x_' || k AS simple FROM p WHERE k % 10 <> 1 AND NOT regexp_matches('x_' || k, '^x_2') AND NOT (starts_with(path, 'm3'))")
+def whitelisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names without those of exact, wildcard, regular and file-bound entries."""
+    part = g._parts(spark, sf_dir).select(F.format_string("m%d.py", "k").alias("path"), F.format_string("x_%d", "k").alias("simple"), "k")
+    exact = [(r.simple, "exact", None) for r in part.where("k % 10 = 1").select("simple").collect()]
+    entries = filters.whitelist(spark, [*exact, ("x_2*", "wildcard", None), ("^x_", "regex", "m3*.py")])
+    return filters.without_whitelisted(part, entries).select("simple")
+
+
+_CATEGORIES = corpus.expected_sql([(k, *f) for k, (_, found) in enumerate(corpus.SNIPPETS) for f in found], "rule_id, severity", "rule_id, severity", len(corpus.SNIPPETS))
+
+
+@_query(f"""SELECT CASE WHEN rule_id[1] IN ('D', 'X') THEN 'danger' ELSE 'quality' END AS category, severity, count(*) AS n,
+CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END AS severity_rank FROM ({_CATEGORIES}) GROUP BY 1, 2, 4""")
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.category_counts(rules.routed(rule_corpus(spark, sf_dir)))
+
+
+@_query("SELECT 'm' || p_partkey || '.py' AS path, 25 AS start, 25 + 23 + length(CAST(p_partkey AS VARCHAR)) AS \"end\" FROM part WHERE p_partkey % 4 = 0")
+def fix_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte ranges of unused functions to remove."""
+    files = g.sources(spark, sf_dir, g.text("def keep():\n    return 1\ndef f_{k}():\n    return 1\n"))
+    dead = g._parts(spark, sf_dir).where("k % 4 = 0").select(g.text("m{k}.py").alias("path"), F.lit("function").alias("def_type"), g.text("m{k}.f_{k}").alias("full_name"), F.lit(3).alias("line"), F.lit(100).alias("confidence"))
+    return fix.plan(files, dead).select("path", "start", "end")
