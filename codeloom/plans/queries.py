@@ -54,25 +54,26 @@ def _hits(key: str, table: str, text: str) -> str:
 
 
 @_query(_hits("doc_id", "documents", "text"))
-def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def secret_pattern_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recognizers that SQL can follow, by themselves; ``secret_scan`` runs all."""
     found = secrets.secret_findings(_docs(spark, sf_dir), "doc_id", "text", entropy=False)
     return found.select("doc_id", F.col("line").cast("long").alias("line"), "rule_id", "severity", F.col("confidence").cast("long").alias("confidence"))
 
 
 @_query(_hits("page_id", "pages", "html"))
-def secret_scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def secret_pattern_scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_findings(_docs(spark, sf_dir, "pages"), "page_id", "html", entropy=False)
     return found.select("page_id", F.col("line").cast("long").alias("line"), "rule_id", "severity", F.col("confidence").cast("long").alias("confidence"))
 
 
 @_query()
-def secret_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_findings(_docs(spark, sf_dir), "doc_id", "text")
     return found.select("doc_id", F.col("line").cast("long").alias("line"), "rule_id", "severity", F.col("confidence").cast("long").alias("confidence"))
 
 
 @_query()
-def secret_scan_pages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def secret_scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_findings(_docs(spark, sf_dir, "pages"), "page_id", "html")
     return found.select("page_id", F.col("line").cast("long").alias("line"), "rule_id", "severity", F.col("confidence").cast("long").alias("confidence"))
 
@@ -256,13 +257,13 @@ def sarif_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.rendered(rules.danger_findings(facts.facts(g.sources(spark, sf_dir, g.evals()), "call", "import", "finding")), "sarif")
 
 
-@_query("""WITH RECURSIVE p AS (SELECT CAST(p_partkey AS BIGINT) AS k FROM part), r(k) AS (SELECT k FROM p WHERE k % 10 = 3 UNION SELECT r.k // 2 FROM r JOIN p ON p.k = r.k // 2),
+@_query("""WITH RECURSIVE p AS (SELECT CAST(p_partkey AS BIGINT) AS k FROM part), r(k) AS (SELECT k FROM p WHERE k % 10 = 3 OR k % 7 = 0 UNION SELECT r.k // 2 FROM r JOIN p ON p.k = r.k // 2),
 d AS (SELECT k, 'f_' AS name, 'function' AS def_type, 2 AS line, k NOT IN (SELECT k FROM r) AS unreachable FROM p WHERE k % 10 <> 3 AND 2 * k NOT IN (SELECT k FROM p) AND 2 * k + 1 NOT IN (SELECT k FROM p)
 UNION ALL SELECT k, 'C_', 'class', 4, true FROM p WHERE k % 10 <> 3 UNION ALL SELECT k, 'C_' || k || '.go_', 'method', 5, true FROM p WHERE k % 10 <> 3
 UNION ALL SELECT k, 'C_' || k || '.idle_', 'method', 7, true FROM p UNION ALL SELECT k, 'D_', 'class', 9, true FROM p UNION ALL SELECT k, 'D_' || k || '.shared_', 'method', 10, true FROM p)
 SELECT 'm' || k || '.' || name || k AS full_name, def_type, CAST(line AS BIGINT) AS line, unreachable, 'definitely_unused' AS category FROM d""")
 def dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Definitions that nothing references or reaches, references of tests aside, and the methods of dead classes."""
+    """Definitions that nothing outside of tests references, and the methods of dead classes. Tests are roots, so what they call is reached."""
     found = deadcode.unused(deadcode.symbols(g.project(spark, sf_dir)))
     return found.select("full_name", "def_type", F.col("line").cast("long").alias("line"), "unreachable", "category")
 
