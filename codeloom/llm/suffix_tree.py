@@ -18,6 +18,7 @@ two nearest symbols; a task that scores texts holds one part at a time if there
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,8 +33,8 @@ from .store import Table, new_path
 from .text import buffers, chunks, plain
 
 DEPTH, DIVERGES = 6, 12.0
-#: Rows of the tree in one part, rows that a task keeps loaded, and bytes of text that it handles at a time.
-PART, HELD, BLOCK = 4_000_000, 8_000_000, 1 << 20
+#: Rows of the tree in one part, rows that a task keeps loaded, bytes of text that it scores at a time, and keys that wait until they are merged into its counts.
+PART, HELD, BLOCK, WAITING = 4_000_000, 8_000_000, 1 << 19, 1 << 19
 _START = 257  # stands before a document; byte b is b + 1, and 0 is no symbol
 _BITS = 9
 _BYTE = (1 << _BITS) - 1
@@ -74,33 +75,66 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
+def _merged(keys: np.ndarray, counts: np.ndarray, new: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both sets of sorted keys as one; counts may be changed in place. Only the result is as long as the keys held."""
+    at = np.searchsorted(keys, new)
+    there = np.zeros(len(new), bool)
+    inner = at < len(keys)
+    there[inner] = keys[at[inner]] == new[inner]
+    counts[at[there]] += n[there]
+    at, new, n = at[~there], new[~there], n[~there]
+    at += np.arange(len(at))
+    old = np.ones(len(keys) + len(new), bool)
+    old[at] = False
+    out = []
+    for held, more in ((keys, new), (counts, n)):
+        both = np.empty(len(old), np.int64)
+        both[at], both[old] = more, held
+        out.append(both)
+    return tuple(out)
+
+
+def _trim() -> None:
+    """Hands freed memory back to the system at the end of a task, as its worker lives on beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def _counted(batches: Iterator[pa.RecordBatch], depth: int, held: int) -> Iterator[pa.RecordBatch]:
+    """``(key, n)`` of the texts t of a task, combined up to ``held`` keys at a time."""
+    keys, counts, waiting, n_waiting = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+
+    def pieces(size: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(keys), size):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + size]), pa.array(counts[k : k + size])], ["key", "n"])
+
+    for batch in batches:
+        for part in chunks(batch, "t"):
+            for _, own in blocks(*buffers(plain(part.column("t"))), depth, WAITING):
+                waiting.append(own)
+                n_waiting += len(own)
+                if n_waiting >= WAITING:
+                    new, n = np.unique(np.concatenate(waiting), return_counts=True)
+                    waiting, n_waiting = [], 0
+                    keys, counts = _merged(keys, counts, new, n)
+                    if len(keys) > held:
+                        yield from pieces()
+                        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    if waiting:
+        keys, counts = _merged(keys, counts, *np.unique(np.concatenate(waiting), return_counts=True))
+        waiting = []
+    yield from pieces()
+
+
 def gram_counts(docs: DataFrame, depth: int = DEPTH, held: int = 1 << 21) -> DataFrame:
     """``(key, n)`` over all texts; each task combines its own counts, up to ``held`` keys at a time, before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, waiting = np.empty(0, np.int64), np.empty(0, np.int64), []
-
-        def merge() -> tuple[np.ndarray, np.ndarray]:
-            new, n = np.unique(np.concatenate(waiting), return_counts=True)
-            return _summed(np.concatenate([keys, new]), np.concatenate([counts, n]))
-
-        for batch in batches:
-            for part in chunks(batch, "t"):
-                for _, own in blocks(*buffers(plain(part.column("t"))), depth):
-                    waiting.append(own)
-                    if sum(map(len, waiting)) >= BLOCK:
-                        keys, counts = merge()
-                        waiting = []
-                        if len(keys) > held:
-                            yield from pieces(keys, counts)
-                            keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        if waiting:
-            keys, counts = merge()
-        yield from pieces(keys, counts)
-
-    def pieces(keys: np.ndarray, counts: np.ndarray, size: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(keys), size):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + size]), pa.array(counts[k : k + size])], ["key", "n"])
+        yield from _counted(batches, depth, held)
+        _trim()
 
     return docs.select(F.col("text").alias("t")).where("length(t) > 0").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -229,6 +263,8 @@ def train(docs: DataFrame, depth: int = DEPTH, diverges: float = DIVERGES, part:
                 full = max(1 << 18, 2 * size)
         if size:
             yield rows(*joined())
+        held.clear()
+        _trim()
 
     grown = counts.df.repartition(F.col("key").bitwiseAND(F.lit(prefix))).sortWithinPartitions("key").mapInArrow(run, "key long, bits float")
     tree = Table(grown, "suffix-tree")
@@ -336,5 +372,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, diverges: float = DIVERGES, part
                         total += so_far[edge[1:]] - so_far[edge[:-1]]
                 arrays = [pa.array(size), *(pa.array(np.round(x / np.maximum(size, 1), 6), pa.float64(), mask=size == 0) for x in sums)]
                 yield pa.RecordBatch.from_arrays([piece.column("id").cast(pa.int64()), *arrays], [c.split()[0] for c in _SCORE.split(", ")])
+        parts.loaded.clear()
+        _trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t")).mapInArrow(run, _SCORE)
