@@ -14,10 +14,11 @@ often than both the clean walk and chance. Polar words make the lexicon unless
 more clean than toxic labelled documents hold them. A document's score is the sum of the
 polarities of its lexicon words.
 
-Pairs are counted in one pass: a task combines its own and sends them in compressed pieces by
-the hash of their rarer word. The CODED most frequent words have short codes there, pairs of the DENSE
-most frequent ones are counted in an array, and a bounded Bloom filter keeps words of too few uses out:
-all of it saves bytes and changes no count.
+Pairs are counted in PASSES passes over all texts, each for its share of the hashes of the rarer word, and
+the shuffle of one is deleted before the next. A task combines its own pairs and sends them in compressed pieces
+by that hash. The CODED most frequent words have short codes there, pairs of the DENSE most frequent ones
+are counted in an array, and a bounded Bloom filter keeps words of too few uses out: all of it saves bytes
+and changes no count.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ LEAST_COUNT, LEAST_TOGETHER, SHIFT = 5, 4, 5.0
 STANDS_OUT, POLAR, LIFT = 16.0, 0.5, 10.0
 #: Words with a short code in the pieces that tasks send; those of them whose pairs a task counts in an array; entries a task holds; words of the lexicon in one broadcast.
 CODED, DENSE, WAITING, PART = 1 << 16, 1 << 12, 3 << 19, 1 << 20
+#: Passes in which pairs are counted; more take less disk and more time.
+PASSES = 2
 
 
 _CODEC = pa.Codec("zstd", compression_level=4)
@@ -289,8 +292,8 @@ class _Codes:
         return code
 
 
-def _pairs(texts: DataFrame, shared: Broadcast, buckets: int, waiting: int = WAITING, densest: int = DENSE, least: int = LEAST_TOGETHER, least_count: int = LEAST_COUNT, shift: float = SHIFT) -> DataFrame:
-    """``(a, b, n, w)``: how often two words stand within WINDOW words of each other, ``least`` times or more.
+def _pairs(texts: DataFrame, shared: Broadcast, buckets: int, waiting: int = WAITING, densest: int = DENSE, least: int = LEAST_TOGETHER, least_count: int = LEAST_COUNT, shift: float = SHIFT, turn: int = 0, passes: int = 1) -> DataFrame:
+    """``(a, b, n, w)``: how often two words stand within WINDOW words of each other, ``least`` times or more; those of the pass ``turn`` of ``passes``.
 
     If b is coded, w is the weight of the edge, and pairs without one are left out; else w is null. Rows with a
     seed have it as a (the lesser of two), and count occurrences of the same two neighbours once, so copies of a document add nothing to a seed's edges.
@@ -344,14 +347,17 @@ def _pairs(texts: DataFrame, shared: Broadcast, buckets: int, waiting: int = WAI
                     continue
                 code = codes.of(word)
                 rare, seed, vertex = np.flatnonzero(code == -1), _among(word, seeds), code > -2
+                mine = _bucket(word, buckets) % passes == turn
                 code[rare] = size + names.of(word[rare])
                 doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                keys, close, open_ = [code[rare] << 32 | code[rare]], [], vertex & ~seed
+                rare = code[rare[mine[rare]]]
+                keys, close, open_ = [rare << 32 | rare], [], vertex & ~seed
                 for step in range(1, WINDOW + 1):
                     ok = np.flatnonzero((doc[step:] == doc[:-step]) & (word[step:] != word[:-step]) & open_[step:] & open_[:-step])
                     x, y = code[ok], code[ok + step]
                     swap = np.where((x >= size) & (y >= size), word[ok] < word[ok + step], x < y)
-                    x, y = np.where(swap, y, x), np.where(swap, x, y)
+                    own = mine[np.where(swap, ok + step, ok)]
+                    x, y = np.where(swap, y, x)[own], np.where(swap, x, y)[own]
                     small = x < most
                     keys.append((x << 32 | y)[~small])
                     close.append((x * (x - 1) // 2 + y)[small])
@@ -363,7 +369,7 @@ def _pairs(texts: DataFrame, shared: Broadcast, buckets: int, waiting: int = WAI
                     context = _neighbours(word, bounds, hit)
                     for step in (*range(-WINDOW, 0), *range(1, WINDOW + 1)):
                         to = np.clip(hit + step, 0, len(word) - 1)
-                        ok = np.flatnonzero((to == hit + step) & (doc[to] == doc[hit]) & (word[to] != word[hit]) & vertex[to])
+                        ok = np.flatnonzero((to == hit + step) & (doc[to] == doc[hit]) & (word[to] != word[hit]) & vertex[to] & mine[to])
                         held.append((word[hit[ok]], word[to[ok]], context[ok]))
                         n_held += len(ok)
                 if n_held > waiting // 4:
@@ -555,19 +561,27 @@ def induce(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, steps: int
     often = _most_frequent(counts.df, coded)
     vertices = bloom(counts.df.where(F.col("n") >= LEAST_COUNT).select(F.col("word").alias("d1"), F.shiftright("word", 27).alias("d2")))
     shared = spark.sparkContext.broadcast(_Codes(often["word"].to_numpy(np.int64), often["n"].to_numpy(np.int64), np.sort(toxic.word), total, vertices))
-    found = Table(_pairs(texts, shared, buckets=min(max(total >> 19, 64), 1 << 14)), "word-pairs")
-    release(spark)
+    found = []
+    for turn in range(PASSES):
+        found.append(Table(_pairs(texts, shared, buckets=min(max(total >> 19, 64), 1 << 14), turn=turn, passes=PASSES), "word-pairs"))
+        release(spark)
+    pairs = found[0].df
+    for more in found[1:]:
+        pairs = pairs.union(more.df)
     of = counts.df.where(F.col("n") >= LEAST_COUNT)
     expected = F.col("a.n").cast("double") * F.col("b.n") * (2.0 * WINDOW / total)
     lift = F.log(F.col("x.n") / expected)
     weighed = (
-        found.df.where("w is null").alias("x").join(of.alias("a"), F.col("x.a") == F.col("a.word")).join(of.alias("b"), F.col("x.b") == F.col("b.word"))
+        pairs.where("w is null").alias("x").join(of.alias("a"), F.col("x.a") == F.col("a.word")).join(of.alias("b"), F.col("x.b") == F.col("b.word"))
         .where((lift > float(np.log(SHIFT))) & (2 * (F.col("x.n") * lift - F.col("x.n") + expected) >= STANDS_OUT)).select("x.a", "x.b", (lift - float(np.log(SHIFT))).cast("float").alias("w"))
     )
-    one = Table(found.df.where("w is not null").select("a", "b", "w").union(weighed), "word-edges")
+    one = Table(pairs.where("w is not null").select("a", "b", "w").union(weighed), "word-edges")
     both = one.df.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"), "w").select("e.src", "e.dst", "w")
-    found.drop()
+    for table in found:
+        table.drop()
+    release(spark)
     weights = Table(both.groupBy("src").agg(F.sum("w").alias("all")), "out-weights")
+    release(spark)
     edges = Table(both.join(weights.df, "src").select("src", "dst", (F.col("w") / F.col("all")).cast("float").alias("w")), "walk-edges")
     one.drop()
     release(spark)
