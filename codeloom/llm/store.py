@@ -9,14 +9,16 @@ the operator that wrote them; whatever is left is deleted when the application e
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 _left: dict[str, SparkSession] = {}
 
@@ -78,10 +80,22 @@ class Table:
         delete(self.spark, self.path)
 
 
-def release(spark: SparkSession) -> None:
-    """Has Spark delete the shuffle files of DataFrames that nothing refers to any more, which it otherwise does when the driver happens to collect garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes the shuffle files of an execution as this ends (from Spark 4.1).
+
+    Otherwise they go when the driver happens to collect garbage, and those of the last execution never by then: Spark
+    still refers to it. A DataFrame run again shuffles again.
+    """
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .fingerprints import bloom, may_hold
 from .labelled import LABELLED, labelled_texts
-from .store import Table, release
+from .store import Table, shuffles_deleted
 from .text import chunks, mix64, plain, words
 
 WINDOW, STEPS, RESTART = 5, 6, 0.2
@@ -47,6 +47,8 @@ STANDS_OUT, POLAR, LIFT = 16.0, 0.5, 10.0
 CODED, DENSE, WAITING, PART = 1 << 16, 1 << 12, 3 << 19, 1 << 20
 #: Passes in which pairs are counted; more take less disk and more time.
 PASSES = 2
+#: Steps of the walk in one execution, whose shuffles are deleted before the next; fewer take less disk and shuffle the edges more often.
+LEG = 3
 
 
 _CODEC = pa.Codec("zstd", compression_level=4)
@@ -474,21 +476,27 @@ def choose_seeds(sample: DataFrame, known: DataFrame) -> tuple[Seeds, Seeds]:
     return Seeds(word[good], toxic[good] / toxic[good].sum()), Seeds(calm["word"].to_numpy(np.int64), weight / weight.sum())
 
 
-def _walk(edges: DataFrame, toxic: Seeds, calm: Seeds, steps: int, restart: float) -> DataFrame:
+def _walk(edges: DataFrame, weights: DataFrame, toxic: Seeds, calm: Seeds, steps: int, restart: float, leg: int = LEG) -> Table:
     """``(word, p, q)``: visiting probabilities of walks that restart from the toxic (p) and the calm (q) seeds.
 
-    ``edges`` (src, dst, w) has both directions; the w from a vertex sum to 1. All steps
-    read one shuffle of the edges; what moves in a step is a row a vertex.
+    ``edges`` (src, dst, w) has both directions; ``weights`` (word, all) the sum of the w from each vertex. ``leg``
+    steps read one shuffle of the edges and are written; what moves in a step is a row a vertex.
     """
     spark = edges.sparkSession
     rows = [(int(s), restart * float(w), 0.0) for s, w in zip(toxic.word, toxic.weight, strict=True)]
     rows += [(int(s), 0.0, restart * float(w)) for s, w in zip(calm.word, calm.weight, strict=True)]
     start = spark.createDataFrame(rows, "word long, p double, q double")
-    now = start.select("word", F.col("p") / restart, F.col("q") / restart).toDF("word", "p", "q")
-    for _ in range(steps):
-        moved = edges.join(now.withColumnRenamed("word", "src").hint("shuffle_hash"), "src").select(F.col("dst").alias("word"), *((F.col(c) * F.col("w") * (1 - restart)).alias(c) for c in "pq"))
-        now = moved.union(start).groupBy("word").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    return now
+    table = Table(start.select("word", F.col("p") / restart, F.col("q") / restart).toDF("word", "p", "q"), "visits")
+    spread = edges.where("src is not null and dst is not null").repartition("src")  # inferred for some steps only, which would then have a shuffle of their own
+    for done in range(0, steps, leg):
+        now = table.df
+        for _ in range(min(leg, steps - done)):
+            sent = now.join(weights.hint("shuffle_hash"), "word").select(F.col("word").alias("src"), *((F.col(c) * (1 - restart) / F.col("all")).alias(c) for c in "pq"))
+            moved = spread.join(sent.hint("shuffle_hash"), "src").select(F.col("dst").alias("word"), *((F.col(c) * F.col("w")).alias(c) for c in "pq"))
+            now = moved.union(start).groupBy("word").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+        before, table = table, Table(now, "visits")
+        before.drop()
+    return table
 
 
 @dataclass(frozen=True)
@@ -545,6 +553,11 @@ def best_cut(s: np.ndarray, y: np.ndarray) -> float:
 
 def induce(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, steps: int = STEPS, coded: int = CODED) -> Lexicon:
     """The lexicon of a corpus. Without toxic and clean labels it is empty and no document is toxic."""
+    with shuffles_deleted(docs.sparkSession):
+        return _induced(docs, labels, limit, steps, coded)
+
+
+def _induced(docs: DataFrame, labels: DataFrame, limit: int, steps: int, coded: int) -> Lexicon:
     spark = docs.sparkSession
     texts = docs.select(F.col("text").alias("t"))
     sample = Table(labelled_texts(docs, labels, "toxic", limit), "toxic-sample")
@@ -554,9 +567,7 @@ def induce(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, steps: int
         sample.drop()
         known.drop()
         return Lexicon(np.empty(0, np.int64), np.empty(0), float("inf"))
-    release(spark)
     counts = Table(_word_counts(texts), "word-counts")
-    release(spark)
     total = counts.df.agg(F.sum("n")).first()[0]
     often = _most_frequent(counts.df, coded)
     vertices = bloom(counts.df.where(F.col("n") >= LEAST_COUNT).select(F.col("word").alias("d1"), F.shiftright("word", 27).alias("d2")))
@@ -564,7 +575,6 @@ def induce(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, steps: int
     found = []
     for turn in range(PASSES):
         found.append(Table(_pairs(texts, shared, buckets=min(max(total >> 19, 64), 1 << 14), turn=turn, passes=PASSES), "word-pairs"))
-        release(spark)
     pairs = found[0].df
     for more in found[1:]:
         pairs = pairs.union(more.df)
@@ -579,20 +589,18 @@ def induce(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, steps: int
     both = one.df.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"), "w").select("e.src", "e.dst", "w")
     for table in found:
         table.drop()
-    release(spark)
-    weights = Table(both.groupBy("src").agg(F.sum("w").alias("all")), "out-weights")
-    release(spark)
-    edges = Table(both.join(weights.df, "src").select("src", "dst", (F.col("w") / F.col("all")).cast("float").alias("w")), "walk-edges")
+    weights = Table(both.groupBy(F.col("src").alias("word")).agg(F.sum("w").alias("all")), "out-weights")
+    walked = _walk(both, weights.df, toxic, calm, steps, RESTART)
     one.drop()
-    release(spark)
-    visited = _walk(edges.df.repartition("src"), toxic, calm, steps, RESTART).join(counts.df, "word")
+    weights.drop()
+    visited = walked.df.join(counts.df, "word")
     polar = visited.select("word", ((F.col("p") - F.col("q")) / (F.col("p") + F.col("q") + F.col("n") * (LIFT / total))).alias("polarity"))
     made = polar.where(F.col("polarity") >= POLAR).toPandas().sort_values("word")
     against = known.df.where("clean > toxic").select("word").toPandas()["word"]
     made = made[~made["word"].isin(against)]
     lexicon = Lexicon(made["word"].to_numpy(np.int64), np.round(made["polarity"].to_numpy(float), 6), float("inf"))
     judged = sample.df.select("y", score(sample.df, lexicon, "t").alias("s")).toPandas()
-    for table in (sample, known, counts, weights, edges):
+    for table in (sample, known, counts, walked):
         table.drop()
     return Lexicon(lexicon.word, lexicon.polarity, best_cut(judged["s"].to_numpy(float), judged["y"].to_numpy()))
 
