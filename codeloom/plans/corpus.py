@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import spread
+
 #: Source and its findings (line, rule id, severity), all of them.
 SNIPPETS: tuple[tuple[str, tuple[tuple[int, str, str], ...]], ...] = (
     ("eval(x)", ((1, "D001", "HIGH"),)),
@@ -144,7 +146,7 @@ SECRETS: tuple[tuple[str, tuple[str, str, int] | None], ...] = (
 
 def snippet_sources(spark: SparkSession, sf_dir: str, texts: list[str]) -> DataFrame:
     """``(path, source)``: the text of each part's number after 0 to 2 blank lines."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("k"))
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("k")), "k")
     chosen = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("k") % len(texts) + 1).cast("int"))
     return part.select(F.concat(F.lit("c"), F.col("k").cast("string"), F.lit(".py")).alias("path"), F.concat(F.repeat(F.lit("\n"), (F.col("k") % 3).cast("int")), chosen).alias("source"))
 

@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import spread
+
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     return part.select(F.col("p_partkey").cast("long").alias("k"), (F.col("p_size") % 12).cast("int").alias("n"), F.col("p_brand").alias("brand"))
 
 
+def _spread_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts from which sources are made: the table is small and read as a task or two, their parse is not."""
+    return spread(_parts(spark, sf_dir), "k")
+
+
 def sources(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     """``(path, source)`` of one file a part; ``text`` may use k, n and brand."""
-    return _parts(spark, sf_dir).select(F.concat(F.lit("m"), F.col("k").cast("string"), F.lit(".py")).alias("path"), text.alias("source"))
+    return _spread_parts(spark, sf_dir).select(F.concat(F.lit("m"), F.col("k").cast("string"), F.lit(".py")).alias("path"), text.alias("source"))
 
 
 def branches() -> Column:
@@ -89,7 +96,7 @@ thing.shared_{k}
 
 def project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A module a part that calls that of half its number; every tenth is used at its own top level, and every seventh by a test alone."""
-    part = _parts(spark, sf_dir)
+    part = _spread_parts(spark, sf_dir)
     used = F.when(F.col("k") % 10 == 3, text("f_{k}()\nC_{k}().go_{k}()\n")).otherwise("")
     modules = part.select(text("m{k}.py").alias("path"), F.concat(text(MODULE), used).alias("source"))
     tests = part.where("k % 7 = 0").select(text("tests/test_m{k}.py").alias("path"), text("from m{k} import f_{k}\ndef test_{k}():\n    f_{k}()\n").alias("source"))
@@ -106,7 +113,7 @@ def halted() -> Column:
 
 def crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two files a part: one returns input through two functions, the other runs it, or a constant instead."""
-    part = _parts(spark, sf_dir)
+    part = _spread_parts(spark, sf_dir)
     give = F.when(F.col("k") % 3 == 0, text("def inner():\n    return input()\ndef get():\n    value = inner()\n    return value\n")).otherwise(text("def get():\n    return 'a'\n"))
     run = text("import os\nfrom a{k} import get\ndef go():\n    os.system(get())\n")
     return part.select(text("a{k}.py").alias("path"), give.alias("source")).union(part.select(text("b{k}.py").alias("path"), run.alias("source")))
@@ -114,7 +121,7 @@ def crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder a part with a conftest below one for all: the nearer definition wins, and even parts define the fixture in the test file itself."""
-    part = _parts(spark, sf_dir)
+    part = _spread_parts(spark, sf_dir)
     one = "import pytest\n@pytest.fixture\ndef fx():\n    return 1\n"
     near = part.where("k % 3 = 0").select(text("t/d{k}/conftest.py").alias("path"), F.lit(one).alias("source"))
     test = part.select(text("t/d{k}/test_a.py").alias("path"), F.concat(F.when(F.col("k") % 2 == 0, F.lit(one)).otherwise(""), F.lit("def test_x(fx):\n    pass\n")).alias("source"))

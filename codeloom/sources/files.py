@@ -16,6 +16,21 @@ EXCLUDED = (
 )
 
 
+#: Sources that a task parses.
+PARSED = 5_000
+
+
+def spread(rows: DataFrame, key: str, most: int = PARSED) -> DataFrame:
+    """The rows in parts of about ``most`` by the hash of ``key``, and in as many as there are cores if that is more and none falls below a hundred.
+
+    A parse takes a thousand times longer than the read of the row that the source is made of, so the parts that a reader makes by
+    bytes are too few: a table of a million short rows is read as one task. Counted first, which reads no column.
+    """
+    count = rows.count()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(-(-count // most), min(cores, -(-count // 100)), 1), key)
+
+
 def ignore_pattern(lines: list[str], base: str = "") -> list[tuple[bool, str]]:
     """(kept again, regular expression) of each line of a .gitignore in folder ``base``, in order; the last that matches a path decides."""
     out = []
