@@ -224,7 +224,7 @@ def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every danger, quality and performance rule over sources whose findings are known."""
     table = facts.facts(corpus.snippet_sources(spark, sf_dir, [t for t, _ in corpus.SNIPPETS]), "call", "import", "function", "class", "finding")
-    found = rules.danger_findings(table).unionByName(rules.quality_findings(table))
+    found = rules.all_findings(table)
     return found.select("path", F.col("line").cast("long").alias("line"), "rule_id", "severity")
 
 

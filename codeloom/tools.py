@@ -16,7 +16,7 @@ def analyze(files: DataFrame, config: Config | None = None) -> dict[str, DataFra
     config = config or Config()
     table = facts.facts(files)
     text = lines(files, "path", "source")
-    found = rules.danger_findings(table).unionByName(rules.quality_findings(table, n_args=config.max_args, length=config.max_lines, mccabe=config.max_complexity))
+    found = rules.all_findings(table, n_args=config.max_args, length=config.max_lines, mccabe=config.max_complexity)
     found = without_suppressed(found, text, "path").where(~F.col("rule_id").isin(*config.ignore))
     assigned = table.where("kind = 'assign'").select("path", "line", "name", F.col("message").alias("value"))
     documented = table.where("kind = 'docstring'").select("path", F.explode(F.sequence("line", "end_line")).alias("line"))
