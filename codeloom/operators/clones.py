@@ -105,17 +105,50 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """1 less the edit distance by the longer length; negative for very different ones, 1 for two empty ones."""
+def _beyond(a: np.ndarray, b: np.ndarray) -> int:
+    """How many of the values of a, which are sorted, are more than those of b; repeated ones count."""
+    at = np.arange(len(a)) - np.searchsorted(a, a)
+    return int((np.searchsorted(b, a, "right") - np.searchsorted(b, a) <= at).sum())
+
+
+def distance_bounds(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """The edit distance is within these. A step takes at most one element from what either has beyond the other; place by place is one way."""
+    p, q = (np.sort(np.ascontiguousarray(s).view(np.uint64).ravel()) for s in (x, y))
+    most = len(x) + len(y)
+    if len(x) == len(y):
+        most = min(most, int(np.where(x[:, 0] == y[:, 0], x[:, 1] != y[:, 1], 2).sum()))
+    return max(_beyond(p, q), _beyond(q, p)), most
+
+
+def similarity(a: bytes, b: bytes, least: float | None = None) -> float:
+    """1 less the edit distance by the longer length; negative for very different ones, 1 for two empty ones. One below ``least`` can be given as another below it."""
     if a == b:
         return 1.0
     x, y = (np.frombuffer(s, np.uint32).reshape(-1, 2) for s in (a, b))
-    return 1 - edit_distance(x, y) / max(len(x), len(y))
+    low, high = distance_bounds(x, y)
+    longer = max(len(x), len(y))
+    if low == high or least is not None and 1 - low / longer < least:
+        return 1 - low / longer
+    return 1 - edit_distance(x, y) / longer
+
+
+def at_least(a: bytes, b: bytes, least: float) -> bool:
+    """Whether ``similarity(a, b) >= least``; the distance is only worked out if its bounds don't tell."""
+    if a == b:
+        return least <= 1
+    x, y = (np.frombuffer(s, np.uint32).reshape(-1, 2) for s in (a, b))
+    low, high = distance_bounds(x, y)
+    longer = max(len(x), len(y))
+    return 1 - high / longer >= least or 1 - low / longer >= least and 1 - edit_distance(x, y) / longer >= least
+
 
+#: Similarity from which a pair counts as alike as written.
+AS_WRITTEN = 0.9
 
-def clone_type(raw: Column, normal: Column) -> Column:
-    """T1 as written, T2 but for names, T3 near, from the similarities as written and normalised."""
-    return F.when(normal < 0.95, "T3").when(raw >= 0.9, "T1").otherwise("T2")
+
+def clone_type(as_written: Column, normal: Column) -> Column:
+    """T1 as written, T2 but for names, T3 near: by whether the pair is alike as written, and the normalised similarity."""
+    return F.when(normal < 0.95, "T3").when(as_written, "T1").otherwise("T2")
 
 
 def clone_type_by_normal(normal: Column) -> Column:
@@ -124,32 +157,45 @@ def clone_type_by_normal(normal: Column) -> Column:
 
 
 _PLACE = ("path", "start_line", "end_line")
-_SCORED = "a_path string, a_start int, a_end int, b_path string, b_start int, b_end int, raw double, similarity double"
+_SCORED = "a_path string, a_start int, a_end int, b_path string, b_start int, b_end int, as_written boolean, similarity double"
+#: Copies of one fragment beyond which it is sent to all tasks; fragments of so many copies are few.
+MANY = 10_000
+
+
+def _copies(table: DataFrame, heads: DataFrame) -> DataFrame:
+    """``(a, b, ra, na, rb, nb)``: the first of fragments that are equal but for names, and each other. A key that very many share is not shuffled."""
+    first = _cut(heads.where("n > 1").join(table.select(F.col("place").alias("head"), F.col("raw").alias("ra"), F.col("normal").alias("na")), "head"))
+    rows = table.select("normal_hash", F.col("place").alias("b"), F.col("raw").alias("rb"), F.col("normal").alias("nb"))
+    large = F.broadcast(first.where(F.col("n") > MANY))
+    small = rows.join(large.select("normal_hash"), "normal_hash", "left_anti").join(first.where(F.col("n") <= MANY), "normal_hash")
+    columns = (F.col("head").alias("a"), "b", "ra", "na", "rb", "nb")
+    return rows.join(large, "normal_hash").select(*columns).union(small.select(*columns)).where("a <> b")
 
 
 def clone_pairs(found: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``(a, b, similarity, clone_type)``, a before b by path and line, of a normalised similarity of ``threshold`` or more."""
-    table = _cut(found.select(F.struct(*_PLACE).alias("place"), "raw_hash", "normal_hash", "raw", "normal", "bands"))
-    heads = table.groupBy("normal_hash").agg(F.min("place").alias("head"))
-    same = table.select("place", "normal_hash").join(heads, "normal_hash").where("place <> head").select(F.col("head").alias("a"), F.col("place").alias("b"))
+    table = _cut(found.select(F.struct(*_PLACE).alias("place"), "normal_hash", "raw", "normal", "bands"))
+    heads = _cut(table.groupBy("normal_hash").agg(F.min("place").alias("head"), F.count(F.lit(1)).alias("n")))
     banded = table.select("place", F.explode("bands").alias("key")).join(heads.select(F.col("head").alias("place")), "place", "left_semi")
     left, right = banded.select(F.col("place").alias("a"), "key"), banded.select(F.col("place").alias("b"), "key")
-    near = left.join(right, "key").where("a < b").select("a", "b").distinct()
+    near = _cut(left.join(right, "key").where("a < b").select("a", "b").distinct())
     codes = table.select("place", "raw", "normal")
-    sides = same.unionByName(near).join(codes.toDF("a", "ra", "na"), "a").join(codes.toDF("b", "rb", "nb"), "b")
+    sides = _copies(table, heads).unionByName(near.join(codes.toDF("a", "ra", "na"), "a").join(codes.toDF("b", "rb", "nb"), "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ra, na, rb, nb = (batch.column(c).to_pylist() for c in ("ra", "na", "rb", "nb"))
-            normal = [similarity(x, y) for x, y in zip(na, nb, strict=True)]
-            raw = [similarity(x, y) if n >= threshold else 0.0 for x, y, n in zip(ra, rb, normal, strict=True)]
+            normal = [similarity(x, y, threshold) for x, y in zip(na, nb, strict=True)]
+            written = [n >= threshold and at_least(x, y, AS_WRITTEN) for x, y, n in zip(ra, rb, normal, strict=True)]
             places = [batch.column(c) for c in ("a_path", "a_start", "a_end", "b_path", "b_start", "b_end")]
-            yield pa.RecordBatch.from_arrays([*places, pa.array(raw, pa.float64()), pa.array(normal, pa.float64())], [c.split()[0] for c in _SCORED.split(", ")])
+            yield pa.RecordBatch.from_arrays([*places, pa.array(written, pa.bool_()), pa.array(normal, pa.float64())], [c.split()[0] for c in _SCORED.split(", ")])
 
-    flat = sides.select(*(F.col(f"{s}.{c}").alias(f"{s}_{n}") for s in "ab" for c, n in zip(_PLACE, ("path", "start", "end"), strict=True)), "ra", "na", "rb", "nb")
+    different = F.col("na") != F.col("nb")
+    normals = (F.when(different, F.col(c)).alias(c) for c in ("na", "nb"))
+    flat = sides.select(*(F.col(f"{s}.{c}").alias(f"{s}_{n}") for s in "ab" for c, n in zip(_PLACE, ("path", "start", "end"), strict=True)), "ra", "rb", *normals)
     scored = flat.mapInArrow(run, _SCORED).where(F.col("similarity") >= threshold)
     place = lambda s: F.struct(*(F.col(f"{s}_{n}").alias(c) for c, n in zip(_PLACE, ("path", "start", "end"), strict=True)))
-    return scored.select(place("a").alias("a"), place("b").alias("b"), "similarity", clone_type(F.col("raw"), F.col("similarity")).alias("clone_type"))
+    return scored.select(place("a").alias("a"), place("b").alias("b"), "similarity", clone_type(F.col("as_written"), F.col("similarity")).alias("clone_type"))
 
 
 def clone_groups(pairs: DataFrame) -> DataFrame:
