@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .facts import dotted
+from .graph import _cut
 
 #: Call names whose result is tainted, attribute chains that are, and what a sink's tainted argument means.
 SOURCES = re.compile(r"^(input|os[.]getenv|os[.]environ[.]get|request[.](get_json|get_data)|request[.](args|form|values|cookies|headers|GET|POST)[.](get|getlist)|req[.](get_json|get_body|params[.]get)|json[.]loads?|yaml[.](safe_)?load|.*[.]read(line|lines)?)$")
@@ -121,10 +122,10 @@ def _parameters(f: ast.FunctionDef | ast.AsyncFunctionDef) -> dict[str, tuple[st
     return own
 
 
-def _imports(tree: ast.Module) -> dict[str, str]:
+def _imports(nodes: list[ast.AST]) -> dict[str, str]:
     """Local name of every imported one and what it stands for."""
     out = {}
-    for n in ast.walk(tree):
+    for n in nodes:
         if isinstance(n, ast.ImportFrom) and n.module and not n.level:
             out |= {a.asname or a.name: f"{n.module}.{a.name}" for a in n.names}
         elif isinstance(n, ast.Import):
@@ -136,23 +137,34 @@ def _module(path: str) -> str:
     return path.removesuffix(".py").strip("/").replace("/", ".").removesuffix(".__init__")
 
 
-def file_flows(path: str, source: str, known: dict[str, str] | None = None) -> tuple[list[tuple], dict[str, str]]:
-    """Flows of a file's functions and module level, and the sources that its functions return by full name; nothing if it doesn't parse.
+def _imported_calls(nodes: list[ast.AST]) -> list[tuple[str, str]]:
+    """(called name, full name that it stands for by an import), of equal called names in the order of the imports."""
+    names = _imports(nodes)
+    if not names:
+        return []
+    place = {local: k for k, local in enumerate(names)}
+    found = []
+    for called in dict.fromkeys(dotted(n.func) or "" for n in nodes if isinstance(n, ast.Call)):
+        ends = [k for k, c in enumerate(called) if c == "."] + [len(called)]
+        found += [(called, names[x] + called[len(x) :]) for x in sorted((called[:k] for k in ends if called[:k] in names), key=place.__getitem__)]
+    return found
 
-    known: returned sources by full name of functions anywhere. Functions of the file are summed up until nothing changes,
-    so a source goes through any chain of returns.
+
+def file_flows(path: str, source: str, known: dict[str, str] | None = None) -> tuple[list[tuple], dict[str, str], list[str]]:
+    """Flows of a file's functions and module level, the sources that its functions return by full name, and the full names of imported
+    functions that it calls; nothing if it doesn't parse.
+
+    known: returned sources by full name of functions anywhere, of which only those that the file calls matter. Functions of the
+    file are summed up until nothing changes, so a source goes through any chain of returns.
     """
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError):
-        return [], {}
-    functions = [n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
-    names, module = _imports(tree), _module(path)
-    summaries = {}
-    for local, full in names.items():
-        for target, origin in (known or {}).items():
-            if target == full or target.startswith(f"{full}."):
-                summaries[local + target[len(full) :]] = origin
+        return [], {}, []
+    nodes = list(ast.walk(tree))
+    functions = [n for n in nodes if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
+    imported, module = _imported_calls(nodes), _module(path)
+    summaries = {called: known[full] for called, full in imported if full in known} if known else {}
     returned: dict[str, str] = {}
     while True:
         before = len(returned)
@@ -171,52 +183,63 @@ def file_flows(path: str, source: str, known: dict[str, str] | None = None) -> t
         flow = _Flow(path, n.name, summaries | returned)
         flow.run(n.body, _parameters(n))
         rows += flow.rows
-    return rows, {f"{module}.{k}": v for k, v in returned.items()}
+    return rows, {f"{module}.{k}": v for k, v in returned.items()}, list(dict.fromkeys(full for _, full in imported))
+
 
+#: A flow; or of kind return, a function ``name`` and the source it returns; or of kind call, an imported ``name`` that the file calls.
+_SUMMARY = f"{FLOW}, kind string, name string"
 
-def returned_sources(files: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
-    """``(name, source)`` of functions that return what a source gives."""
+
+def _summaries(files: DataFrame) -> DataFrame:
+    """Rows of ``_SUMMARY`` for ``(path, source)`` rows, or for ``(path, source, known)`` with an array of the returned sources (name, source) that matter."""
+    fields = [x.split() for x in _SUMMARY.split(", ")]
+    wide = len(FLOW.split(", "))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int32() if t == "int" else pa.string() for _, t in fields]
         for batch in batches:
-            rows = [r for p, s in zip(batch.column("path").to_pylist(), batch.column("source").to_pylist(), strict=True) for r in file_flows(p, s, known)[1].items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["name", "source"])
+            known = batch.column("known").to_pylist() if "known" in batch.schema.names else [[]] * batch.num_rows
+            rows = []
+            for path, source, own in zip(batch.column("path").to_pylist(), batch.column("source").to_pylist(), known, strict=True):
+                flows, returned, called = file_flows(path, source, {x["name"]: x["source"] for x in own})
+                rows += [(*r, "flow", None) for r in flows]
+                rows += [(path, None, origin, *[None] * (wide - 3), "return", name) for name, origin in returned.items()]
+                rows += [(path, *[None] * (wide - 1), "call", name) for name in called]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [n for n, _ in fields])
 
-    return files.select("path", "source").where("path is not null and source is not null").mapInArrow(run, "name string, source string").distinct()
+    return files.where("path is not null and source is not null").mapInArrow(run, _SUMMARY)
 
 
-#: Returned sources that are broadcast; a project with more is analysed without crossing files.
-MOST_SUMMARIES = 1_000_000
+def _returned(rows: DataFrame) -> DataFrame:
+    """``(name, source)``: the first of the sources that functions of a full name return."""
+    return rows.where("kind = 'return'").groupBy("name").agg(F.min("source").alias("source"))
 
 
-def cross_file_summaries(files: DataFrame, rounds: int = 20) -> dict[str, str]:
-    """Returned sources by full name, through imports of other files, until nothing new is found.
+def _across(files: DataFrame) -> DataFrame:
+    """Flows with what imported functions of other files return, to any depth.
 
-    ValueError if there are more than MOST_SUMMARIES of them, which bounds what is sent to every task.
+    Each file is parsed once, and those that call a function known to return a source again with what they call, until no new function
+    is known. Calls meet known functions in a join, so neither number has a bound and a file gets no more than it calls.
     """
-    known: dict[str, str] = {}
-    for _ in range(rounds):
-        rows = returned_sources(files, known).orderBy("name", "source").limit(MOST_SUMMARIES + 1).collect()
-        if len(rows) > MOST_SUMMARIES:
-            raise ValueError(f"more than {MOST_SUMMARIES} functions return sources; analyse the project in parts")
-        now = {r.name: r.source for r in reversed(rows)}
-        if now.keys() == known.keys():
-            return known
+    files = files.select("path", "source")
+    first = _cut(_summaries(files))
+    calls = first.where("kind = 'call'").select("path", "name")
+    known = _cut(_returned(first))
+    while True:
+        met = _cut(calls.join(known, "name").groupBy("path").agg(F.collect_set(F.struct("name", "source")).alias("known")))
+        again = _cut(_summaries(files.join(met, "path")))
+        rows = first.join(met, "path", "left_anti").unionByName(again)
+        now = _cut(_returned(rows))
+        if now.join(known, "name", "left_anti").isEmpty() and known.join(now, "name", "left_anti").isEmpty():
+            return rows
         known = now
-    return known
 
 
-def taint_findings(files: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
-    """Flows with an exploitability of 0 to 100, one for each path, sink line and source line. known: ``cross_file_summaries``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int32() if x.endswith(" int") else pa.string() for x in FLOW.split(", ")]
-        for batch in batches:
-            rows = [r for p, s in zip(batch.column("path").to_pylist(), batch.column("source").to_pylist(), strict=True) for r in file_flows(p, s, known)[0]]
-            columns = zip(*rows, strict=True) if rows else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in FLOW.split(", ")])
-
-    found = files.select("path", "source").where("path is not null and source is not null").mapInArrow(run, FLOW)
+def taint_findings(files: DataFrame, across: bool = False) -> DataFrame:
+    """Flows with an exploitability of 0 to 100, one for each path, sink line and source line. across: also from functions of other files that return a source."""
+    rows = _across(files) if across else _summaries(files.select("path", "source"))
+    found = rows.where("kind = 'flow'").drop("kind", "name")
     base = F.when(F.col("severity") == "CRITICAL", 90).when(F.col("severity") == "HIGH", 75).when(F.col("severity") == "MEDIUM", 60).otherwise(45)
     kind = F.when(F.col("vuln_type").isin("CodeInjection", "CommandInjection"), 10).when(F.col("vuln_type").isin("SqlInjection", "Deserialization"), 8).when(F.col("vuln_type") == "PathTraversal", 6).when(F.col("vuln_type") == "Ssrf", 5).when(F.col("vuln_type") == "Xss", 4).otherwise(2)
     origin = F.when(F.col("source").rlike("^(request|req|input)"), 8).when(F.col("source").rlike("^(sys|os)"), 5).when(F.col("source").rlike("^function param"), 2).otherwise(3)

@@ -294,8 +294,7 @@ def control_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_P} SELECT 'b' || k || '.py' AS path, 'os.system' AS sink, 4 AS sink_line, 'input' AS source, 'D003' AS rule_id FROM p WHERE k % 3 = 0")
 def cross_file_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Input that comes through two functions of another file."""
-    files = g.crossing(spark, sf_dir)
-    return taint.taint_findings(files, taint.cross_file_summaries(files)).select("path", "sink", "sink_line", "source", "rule_id")
+    return taint.taint_findings(g.crossing(spark, sf_dir), across=True).select("path", "sink", "sink_line", "source", "rule_id")
 
 
 @_query("""WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS k FROM part) SELECT 't/d' || k || '/test_a.py' AS path,
