@@ -245,9 +245,8 @@ SELECT 'unused_percent' AS gate, CAST(100 AS DOUBLE) AS actual, CAST(5 AS DOUBLE
 UNION ALL SELECT 'max_complexity', CAST(worst AS DOUBLE), 10.0, worst <= 10 FROM g UNION ALL SELECT 'min_mi', round(mi, 6), 40.0, mi >= 40 FROM g""")
 def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = g.sources(spark, sf_dir, g.branches())
-    functions = facts.functions(facts.facts(files, "function"))
-    named = facts.facts(files, "def", "ref")
-    gates = metrics.quality_gates(metrics.file_metrics(metrics.source_metrics(files), functions), graph.unused_definitions(named), named.where("kind = 'def'"))
+    table = graph._cut(facts.facts(files, "function", "def", "ref"))  # four tables are made of one parse
+    gates = metrics.quality_gates(metrics.file_metrics(metrics.source_metrics(files), facts.functions(table)), graph.unused_definitions(table), table.where("kind = 'def'"))
     return gates.withColumn("actual", F.round("actual", 6))
 
 
