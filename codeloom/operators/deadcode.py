@@ -247,11 +247,19 @@ def resolved(defs: DataFrame, counts: DataFrame) -> DataFrame:
     variables, imports and fixtures; an attribute of that name, for functions, methods and classes. Definitions outside of tests see
     references outside of tests only. The evidence weighs 1.0 for full and enum names, .35 for simple ones, .60 for attributes.
     """
+    seen = lambda p: F.coalesce(F.when(F.col("test"), F.col(f"{p}_e")).otherwise(F.col(f"{p}_p")), F.lit(0))
+    side = lambda key, p: counts.select(F.col("key").alias(key), F.col("every").alias(f"{p}_e"), F.col("production").alias(f"{p}_p"))
+    keyed = defs.join(side("full_name", "k1"), "full_name", "left").withColumn("nk1", seen("k1")).drop("k1_e", "k1_p")
+    # Few definitions are members of enums, so few counts are of Class.member, and broadcast then.
     member = F.concat_ws(".", F.substring_index("parent", ".", -1), "simple")
-    keyed = defs.withColumns({"k1": F.col("full_name"), "k2": member, "k3": F.col("simple"), "k4": F.concat(F.lit("."), "simple")})
-    for k in ("k1", "k2", "k3", "k4"):
-        side = counts.select(F.col("key").alias(k), F.col("every").alias(f"{k}_e"), F.col("production").alias(f"{k}_p"))
-        keyed = keyed.join(side, k, "left").withColumn(f"n{k}", F.coalesce(F.when(F.col("test"), F.col(f"{k}_e")).otherwise(F.col(f"{k}_p")), F.lit(0))).drop(k, f"{k}_e", f"{k}_p")
+    wanted = _cut(defs.where("enum_member").select(member.alias("k2")).distinct())
+    keyed = keyed.withColumn("k2", F.when(F.col("enum_member"), member).otherwise(F.col("full_name")))  # not null, which would all meet in a task
+    keyed = keyed.join(_cut(side("k2", "k2").join(wanted, "k2", "left_semi")), "k2", "left").withColumn("nk2", seen("k2")).drop("k2", "k2_e", "k2_p")
+    # The simple name and the attribute of that name come by one join: keys with no dot, and with one at their head alone.
+    attribute = F.startswith("key", F.lit("."))
+    short = counts.where("key not like '_%.%'").select(F.when(attribute, F.expr("substring(key, 2)")).otherwise(F.col("key")).alias("simple"), attribute.alias("attribute"), "every", "production")
+    own = short.groupBy("simple").agg(*(F.max(F.when(F.col("attribute") == a, F.col(c))).alias(f"{k}_{c[0]}") for k, a in (("k3", False), ("k4", True)) for c in ("every", "production")))
+    keyed = keyed.join(own, "simple", "left").withColumns({"nk3": seen("k3"), "nk4": seen("k4")}).drop("k3_e", "k3_p", "k4_e", "k4_p")
     member = F.col("enum_member")
     callable_ = F.col("def_type").isin("function", "method", "class")
     simple = ~F.col("def_type").isin("variable", "parameter", "import") & ~F.col("fixture") & ~member
@@ -349,16 +357,16 @@ def unused(table: DataFrame, threshold: int = 60, include_tests: bool = False) -
     has a confidence of ``threshold``. Methods of a dead class are dead with it, but for visitor and hook names.
     """
     table = _cut(table)
-    table = _cut(table.union(expand_stars(table)))
+    table = table.union(_cut(expand_stars(table)))
     enums = definitions(table)
     classes = enums.where("enum and def_type = 'class'").select(F.col("full_name").alias("parent"), F.lit(True).alias("enum_member"))
-    defs = enums.join(classes.distinct(), "parent", "left").withColumn("enum_member", F.coalesce("enum_member", F.lit(False)))
-    scopes = table.where("kind = 'dynamic'").select(F.col("name").alias("prefix")).distinct()
+    defs = enums.join(_cut(classes.distinct()), "parent", "left").withColumn("enum_member", F.coalesce("enum_member", F.lit(False)))
+    scopes = _cut(table.where("kind = 'dynamic'").select(F.col("name").alias("prefix")).distinct())  # mostly few, and broadcast then
     whole = scopes.select(F.col("prefix").alias("module"), F.lit(True).alias("dynamic_module"))
     inner = defs.select("full_name", F.explode(prefixes(F.col("parent"))).alias("prefix")).join(scopes, "prefix").select("full_name", F.lit(True).alias("dynamic_parent")).distinct()
     defs = defs.join(whole, "module", "left").join(inner, "full_name", "left").na.fill(False, ["dynamic_module", "dynamic_parent"])
     defs = _cut(defs)
-    counted = _cut(resolved(defs, _cut(with_imports(reference_counts(table), propagate_imports(table), propagate_imports(table.where(~is_test_path(F.col("path"))))))))
+    counted = resolved(defs, _cut(with_imports(reference_counts(table), propagate_imports(table), propagate_imports(table.where(~is_test_path(F.col("path")))))))
     reached = reachable(roots(table, defs, include_tests), call_graph(table, defs)).select(F.col("node").alias("full_name"), F.lit(True).alias("reached"))
     callable_ = F.col("def_type").isin("function", "method", "class")
     known = counted.join(reached, "full_name", "left").withColumn("unreachable", callable_ & F.col("reached").isNull()).withColumn("confidence", confidence(include_tests))

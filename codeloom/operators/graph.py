@@ -53,14 +53,17 @@ def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, depth)`` of everything the roots reach; roots have a column node, edges src and dst.
 
     A frontier loop: each round joins only the nodes found in the last one and drops those seen. Null ends are ignored.
+    What a round finds is written before it meets the nodes seen, so that a small frontier is broadcast to these and to the edges, and
+    a long chain doesn't shuffle them in every round.
     """
     pairs = _cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
     seen = _cut(roots.where("node is not null").select("node").distinct().withColumn("depth", F.lit(0)))
     frontier, depth = seen, 0
     while True:
         depth += 1
-        step = frontier.join(pairs, frontier["node"] == pairs["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = _cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        step = _cut(pairs.join(frontier.select("node"), pairs["src"] == frontier["node"], "left_semi").select(F.col("dst").alias("node")).distinct())
+        met = seen.select("node").join(step, "node", "left_semi")
+        frontier = _cut(step.join(met, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
